@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import gc
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -34,6 +35,13 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished stages now: Spark deletes them when the driver's JVM collects its garbage, which
+    may be long after a checkpoint has made them useless."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def fold_of(doc_id, folds: int) -> int:
     """crc32 of the id as text, modulo folds; a null id counts as the empty text."""
     return zlib.crc32(b"" if doc_id is None else str(int(doc_id)).encode()) % folds

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, kept
+from .common import fold_of, kept, release
 
 ORDER = 3
 FOLDS = 5
@@ -43,9 +43,10 @@ HELD_OUT = 1
 MU = (0.0, 500.0, 8.0)
 BLOCK_BYTES = 8 << 20
 #: n-grams of all blocks that meet in a range, about.
-RANGE_ENTRIES = 3_000_000
-#: Bits of an n-gram's hash beyond single tokens; single tokens keep 64, so that their counts are exact.
-BITS = 52
+RANGE_ENTRIES = 5_000_000
+#: An n-gram's hash beyond single tokens has this many bits more than the number of n-grams takes: two given n-grams of a
+#: corpus of any size share one with the same small probability. Single tokens keep 64, so that their counts are exact.
+SPARE_BITS = 18
 PIECE = 512
 MIX = np.uint64(0x9E3779B97F4A7C15)
 MIX2 = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -72,7 +73,29 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def gram_hashes(tokens: np.ndarray, ends: np.ndarray, order: int) -> list[np.ndarray]:
+def hash_bits(entries: int) -> int:
+    return min(62, max(1, entries).bit_length() + SPARE_BITS)
+
+
+def sort_order(keys: np.ndarray, bits: int) -> np.ndarray:
+    """The order that sorts keys of so many bits. Key and index are sorted as one number; where both don't fit, the key's
+    lowest bits stay out and runs that differ in those alone are put right afterwards."""
+    at_bits = max(1, len(keys).bit_length())
+    low = max(0, bits + at_bits - 64)
+    packed = (keys.astype(np.uint64) >> np.uint64(low)) << np.uint64(at_bits) | np.arange(len(keys), dtype=np.uint64)
+    packed.sort()
+    order = (packed & np.uint64((1 << at_bits) - 1)).astype(np.int64)
+    if low:
+        top, done = packed >> np.uint64(at_bits), -1
+        for i in np.flatnonzero(keys[order[:-1]] > keys[order[1:]]):
+            if i > done:
+                a, b = np.searchsorted(top, top[i], "left"), np.searchsorted(top, top[i], "right")
+                order[a:b] = order[a:b][np.argsort(keys[order[a:b]], kind="stable")]
+                done = b
+    return order
+
+
+def gram_hashes(tokens: np.ndarray, ends: np.ndarray, order: int, bits: int) -> list[np.ndarray]:
     """For n = 1 .. order the hash of the n tokens up to each place, 0 where fewer lie in the text. tokens: the hash of
     each place's token; ends: whether a text ends here."""
     out = [tokens]
@@ -80,7 +103,7 @@ def gram_hashes(tokens: np.ndarray, ends: np.ndarray, order: int) -> list[np.nda
     short = starts.copy()
     for n in range(2, order + 1):
         h = np.zeros_like(tokens)
-        h[1:] = _mix(out[-1][:-1] * MIX + tokens[1:] + np.uint64(n)) >> np.uint64(64 - BITS)
+        h[1:] = _mix(out[-1][:-1] * MIX + tokens[1:] + np.uint64(n)) >> np.uint64(64 - bits)
         h[1:] |= np.uint64(1)
         h[short] = 0
         out.append(h)
@@ -149,7 +172,8 @@ def pack(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 class _Block:
     """A packed block, unpacked: tokens with an end after each text."""
 
-    def __init__(self, row) -> None:
+    def __init__(self, row, bits: int) -> None:
+        self.bits = bits
         lengths = _expand(row["lengths"], np.int64)
         self.n_docs = int(row["n_docs"])
         self.held = np.unpackbits(np.frombuffer(row["held"], np.uint8))[: self.n_docs].astype(bool)
@@ -162,7 +186,7 @@ class _Block:
         self.ends[last] = True
         self.tokens = np.zeros(len(self.ends), dtype=np.int64)  # id 0 is the end
         self.tokens[~self.ends] = _expand(row["tokens"], np.int32)
-        self.hashes = gram_hashes(self.vocabulary[self.tokens], self.ends, ORDER)
+        self.hashes = gram_hashes(self.vocabulary[self.tokens], self.ends, ORDER, bits)
 
     def distinct(self, n: int, counted: bool) -> tuple[np.ndarray, np.ndarray]:
         """The distinct n-grams by hash, and (counted) their counts in the training texts or (else) the index of each place's."""
@@ -175,32 +199,42 @@ class _Block:
             train = np.repeat(~self.held, self.lengths)
             return self.vocabulary[order], np.bincount(self.tokens[train], minlength=len(order))[order]
         h = self.hashes[n - 1]
-        if not counted:
-            return np.unique(h, return_inverse=True)
-        train = np.repeat(~self.held, self.lengths)
-        both = np.unique(h)
-        seen, counts = np.unique(h[train], return_counts=True)
-        out = np.zeros(len(both), dtype=np.int64)
-        out[np.searchsorted(both, seen)] = counts
-        return both, out
-
-
-def _range_edges(n: int, ranges: int) -> np.ndarray:
-    top = 64 if n == 1 else BITS
+        if counted:  # the lowest bit tells training texts
+            marked = h << np.uint64(1) | np.repeat(~self.held, self.lengths)
+            marked.sort()
+            starts = _starts(marked >> np.uint64(1))
+            return marked[starts] >> np.uint64(1), np.add.reduceat((marked & np.uint64(1)).astype(np.int64), starts)
+        order = sort_order(h, self.bits)
+        ranked = h[order]
+        starts = _starts(ranked)
+        new = np.zeros(len(h), dtype=np.int64)
+        new[starts] = 1
+        place = np.empty(len(h), dtype=np.int64)
+        place[order] = np.cumsum(new) - 1
+        return ranked[starts], place
+
+
+def _starts(ranked: np.ndarray) -> np.ndarray:
+    """Where runs of equal values start."""
+    return np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+
+
+def _range_edges(n: int, ranges: int, bits: int) -> np.ndarray:
+    top = 64 if n == 1 else bits
     return np.array([(r << top) // ranges for r in range(1, ranges)], dtype=np.uint64)
 
 
 COUNTS = "range int, n int, block long, hashes binary, counts binary"
 
 
-def _send(ranges: int):
+def _send(ranges: int, bits: int):
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for _, row in batch.iterrows():
-                block = _Block(row)
+                block = _Block(row, bits)
                 for n in range(1, ORDER + 1):
                     hashes, counts = block.distinct(n, True)
-                    cuts = np.concatenate([[0], np.searchsorted(hashes, _range_edges(n, ranges)), [len(hashes)]])
+                    cuts = np.concatenate([[0], np.searchsorted(hashes, _range_edges(n, ranges, bits)), [len(hashes)]])
                     out = [(r, n, row["block"], _compress(np.diff(hashes[a:b], prepend=np.uint64(0))), _compress(counts[a:b].astype(np.int32)))
                            for r, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
                     yield pd.DataFrame(out, columns=["range", "n", "block", "hashes", "counts"])
@@ -256,7 +290,8 @@ class Automaton:
         keys, weights, targets = [self.read_keys(np.zeros(self.width, dtype=np.int64), np.arange(self.width))], [self.base_log], [np.maximum(state_of[0], 0) if order > 1 else np.zeros(self.width, dtype=np.int64)]
         probability = base  # of each distinct n-gram of the length before
         for n in range(2, order + 1):
-            first = np.unique(places[n - 1], return_index=True)[1]  # a place of each distinct n-gram
+            first = np.empty(len(counts[n - 1]), dtype=np.int64)  # a place of each distinct n-gram
+            first[places[n - 1]] = np.arange(len(tokens))
             live = counts[n - 1] > 0
             at = first[live]
             context, suffix, word = places[n - 2][at - 1], places[n - 2][at], places[0][at]
@@ -283,7 +318,7 @@ class Automaton:
             ok = number >= 0
             self.backoff[number[ok]] = np.log10(mu[n] / (counts[n - 1][ok] + mu[n]))
         key = np.concatenate(keys)
-        sort = np.argsort(key)
+        sort = sort_order(key, int(key.max()).bit_length())
         self.keys, self.weights, self.targets = key[sort], np.concatenate(weights)[sort], np.concatenate(targets)[sort]
 
     def read_keys(self, state: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -325,8 +360,8 @@ class Automaton:
         return np.bincount(owner, weights=sums, minlength=len(lengths))
 
 
-def _score_block(packed: pd.DataFrame, totals: pd.DataFrame, n_total: int, v_total: int, mu: tuple[float, ...]) -> pd.DataFrame:
-    block = _Block(packed.iloc[0])
+def _score_block(packed: pd.DataFrame, totals: pd.DataFrame, bits: int, n_total: int, v_total: int, mu: tuple[float, ...]) -> pd.DataFrame:
+    block = _Block(packed.iloc[0], bits)
     counts, places = [], []
     for n in range(1, ORDER + 1):
         mine = totals[totals["n"] == n].sort_values("range")
@@ -350,16 +385,17 @@ def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES, range_entries: int =
     """docs: doc_id (an integer), text. Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
     packed = kept(pack(docs, block_bytes))
     tokens = packed.agg(F.sum("n_tokens")).first()[0] or 0
-    ranges = max(1, -(-int(tokens * 1.7) // range_entries))
-    sent = packed.select(*[c.split()[0] for c in PACKED.split(", ")]).mapInPandas(_send(ranges), COUNTS)
-    totals = kept(sent.groupBy("range", "n").applyInPandas(_total, TOTALS))
+    entries = int(tokens) * ORDER
+    ranges, bits = max(1, -(-entries // range_entries)), hash_bits(entries)
+    totals = kept(packed.mapInPandas(_send(ranges, bits), COUNTS).groupBy("range", "n").applyInPandas(_total, TOTALS))
+    release(docs.sparkSession)  # the counts that were sent
     stats = totals.where("n = 1").agg(F.sum("total"), F.sum("seen")).first()
     n_total, v_total = int(stats[0] or 0), int(stats[1] or 0)
 
     def each(packed_rows: pd.DataFrame, total_rows: pd.DataFrame) -> pd.DataFrame:
         if not len(packed_rows):
             return pd.DataFrame(columns=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-        return _score_block(packed_rows, total_rows, n_total, v_total, mu)
+        return _score_block(packed_rows, total_rows, bits, n_total, v_total, mu)
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return packed.groupBy("block").cogroup(totals.groupBy("block")).applyInPandas(each, schema)
