@@ -4,6 +4,7 @@ from __future__ import annotations
 import base64
 import functools
 import gc
+import time
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -37,9 +38,12 @@ def kept(df: DataFrame) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Let go of the shuffle files of finished stages now: Spark deletes them when the driver's JVM collects its garbage, which
-    may be long after a checkpoint has made them useless."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    may be long after a checkpoint has made them useless. The first round frees what Python holds in the JVM, the later ones
+    what that held."""
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
 
 
 def fold_of(doc_id, folds: int) -> int:
