@@ -24,7 +24,7 @@ from .common import load_ranks, tokenizer_path, with_computed
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Byte b is the character FIRST + b: a block of letters, none of them special to sentencepiece.
 FIRST = 0x100
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 150_000
 CACHE_LONGEST = 64
 
 

@@ -69,6 +69,8 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
 
 
+#: Rows whose values are Python objects at a time.
+STEP_ROWS = 256
 ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32())}
 
 
@@ -81,10 +83,13 @@ def with_computed(rows: DataFrame, inputs: tuple[str, ...], start: Callable[[],
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = start()
-        for batch in batches:
-            found = compute(*[batch.column(i).to_pylist() for i in at])
-            columns = [pa.array(v, ARROW[t]) for v, t in zip(found, new.values())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *new])
+        for whole in batches:
+            for start_row in range(0, whole.num_rows, STEP_ROWS):
+                batch = whole.slice(start_row, STEP_ROWS)
+                found = compute(*[batch.column(i).to_pylist() for i in at])
+                columns = [pa.array(v, ARROW[t]) for v, t in zip(found, new.values())]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *new])
+        pa.default_memory_pool().release_unused()
 
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in rows.schema.fields] + [T.StructField(c, T._parse_datatype_string(t), True) for c, t in new.items()])
     return rows.mapInArrow(each, schema)

@@ -44,7 +44,7 @@ BAND_TEXTS = 50
 CELL = 200
 #: A text of this many tokens has a band wider by the root of two.
 SHORT_TOKENS = 150
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 150_000
 CACHE_LONGEST = 64
 
 
