@@ -24,7 +24,7 @@ from .common import load_ranks, tokenizer_path, with_computed
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Byte b is the character FIRST + b: a block of letters, none of them special to sentencepiece.
 FIRST = 0x100
-CACHE_ENTRIES = 150_000
+CACHE_ENTRIES = 100_000
 CACHE_LONGEST = 64
 
 
@@ -75,26 +75,26 @@ class ByteBpe:
         self.tokens = [t for t, _ in sorted(ranks.items(), key=lambda x: x[1])]
         self.split = regex.compile(pattern).findall
         self.pieces = sentencepiece.SentencePieceProcessor(model_proto=model_bytes(ranks))
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.cache: dict[str, bytes] = {}
 
-    def _piece(self, pre: str) -> tuple[int, ...]:
+    def _piece(self, pre: str) -> bytes:
+        """The ids of a pre-token, four bytes each."""
         raw = pre.encode("utf-8", "surrogatepass")
         whole = self.ranks.get(raw)
-        ids = (whole,) if whole is not None else tuple(self.pieces.encode(as_characters(raw), num_threads=1))
+        ids = [whole] if whole is not None else self.pieces.encode(as_characters(raw), num_threads=1)
+        packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(pre) <= CACHE_LONGEST:
             if len(self.cache) >= CACHE_ENTRIES:
                 self.cache.clear()
-            self.cache[pre] = ids
-        return ids
+            self.cache[pre] = packed
+        return packed
 
-    def encode(self, text: str) -> list[int]:
-        get, piece, out = self.cache.get, self._piece, []
-        for pre in self.split(text):
-            out.extend(get(pre) or piece(pre))
-        return out
+    def encode(self, text: str) -> np.ndarray:
+        get, piece = self.cache.get, self._piece
+        return np.frombuffer(b"".join([get(pre) or piece(pre) for pre in self.split(text)]), dtype="<u4")
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+    def decode(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.tokens.__getitem__, ids.tolist()))
 
 
 @functools.lru_cache(maxsize=2)
@@ -113,8 +113,8 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
         def compute(texts: list[str | None]) -> tuple:
             counts, id_hashes, raw_hashes, all_ids, all_raw = [], [], [], [], []
             for text in texts:
-                ids = np.array(bpe.encode(text or ""), dtype="<u4")
-                raw = bpe.decode(ids.tolist())
+                ids = bpe.encode(text or "")
+                raw = bpe.decode(ids)
                 counts.append(len(ids))
                 id_hashes.append(hashlib.sha256(ids.tobytes()).hexdigest())
                 raw_hashes.append(hashlib.sha256(raw).hexdigest())

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import base64
+import ctypes
 import functools
 import gc
 import time
@@ -36,6 +37,15 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a few numbers or short strings each: some 20 MB as a hashed relation.
+BROADCAST_ROWS = 200_000
+
+
+def broadcast_if_small(narrow: DataFrame, most_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """narrow (a kept table of short rows), to be broadcast if its rows are counted and few; else as it is, for a shuffle join."""
+    return F.broadcast(narrow) if narrow.limit(most_rows + 1).count() <= most_rows else narrow
+
+
 def release(spark: SparkSession) -> None:
     """Let go of the shuffle files of finished stages now: Spark deletes them when the driver's JVM collects its garbage, which
     may be long after a checkpoint has made them useless. The first round frees what Python holds in the JVM, the later ones
@@ -69,6 +79,16 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
 
 
+def trim() -> None:
+    """Give memory that a task has freed back to the system: idle workers stay beside the executor's JVM."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 #: Rows whose values are Python objects at a time.
 STEP_ROWS = 256
 ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32())}
@@ -89,7 +109,8 @@ def with_computed(rows: DataFrame, inputs: tuple[str, ...], start: Callable[[],
                 found = compute(*[batch.column(i).to_pylist() for i in at])
                 columns = [pa.array(v, ARROW[t]) for v, t in zip(found, new.values())]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *new])
-        pa.default_memory_pool().release_unused()
+        del compute
+        trim()
 
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in rows.schema.fields] + [T.StructField(c, T._parse_datatype_string(t), True) for c, t in new.items()])
     return rows.mapInArrow(each, schema)

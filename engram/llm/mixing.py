@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import kept, word_count
+from .common import broadcast_if_small, kept, word_count
 
 KEY_BUCKETS = 8192
 #: Weights of the sources in code point order, repeated.
@@ -104,15 +104,15 @@ def _taken() -> Column:
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """docs: doc_id, text, source. Returns doc_id, size, source_size, target, taken (words, repeats counted)."""
     rows = kept(_keyed(docs.select("doc_id", "text", "source")).select("doc_id", "m_source", "m_size", "m_key"))
-    placed = rows.join(_plan(rows, weights, max_epochs), F.col("m_source").eqNullSafe(F.col("p_source")))
+    placed = rows.join(broadcast_if_small(_plan(rows, weights, max_epochs)), F.col("m_source").eqNullSafe(F.col("p_source")))
     return placed.select("doc_id", F.col("m_size").alias("size"), F.col("m_source_size").alias("source_size"), F.col("m_target").alias("target"), _taken().alias("taken"))
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """The mix itself: rows of docs, each as many times as its taken words hold it (the part on the edge counts from one
-    half on). Texts are not shuffled: the plan is one row per source."""
+    half on). Texts are not shuffled: the plan is one row per source, broadcast unless there are very many sources."""
     rows = kept(_keyed(docs.select("doc_id", "text", "source")).select("doc_id", "m_source", "m_size", "m_key"))
-    placed = _keyed(docs).join(_plan(rows, weights, max_epochs), F.col("m_source").eqNullSafe(F.col("p_source")))
+    placed = _keyed(docs).join(broadcast_if_small(_plan(rows, weights, max_epochs)), F.col("m_source").eqNullSafe(F.col("p_source")))
     copies = F.when(F.col("m_size") > 0, F.round(_taken() / F.col("m_size"))).otherwise(F.lit(0)).cast("int")
     placed = placed.withColumn("m_copies", copies).where("m_copies > 0")
     return placed.withColumn("m_copy", F.explode(F.sequence(F.lit(1), "m_copies"))).select(*docs.columns)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import kept, tokenizer_path, with_computed
+from .common import broadcast_if_small, kept, tokenizer_path, with_computed
 
 VOCABULARY = "piece_bpe_32k.model"
 LEAST_WORDS = 10
@@ -44,7 +44,7 @@ BAND_TEXTS = 50
 CELL = 200
 #: A text of this many tokens has a band wider by the root of two.
 SHORT_TOKENS = 150
-CACHE_ENTRIES = 150_000
+CACHE_ENTRIES = 100_000
 CACHE_LONGEST = 64
 
 
@@ -160,7 +160,7 @@ def rules(docs: DataFrame, path: str | None = None, bands: dict = BANDS) -> Data
     """docs: doc_id, text, lang. Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     kept, and the figures n_tokens, chars_per_token, byte_share, token_entropy, script."""
     rows = kept(figures(docs, path))
-    measured = measured_bands(rows)
+    measured = broadcast_if_small(kept(measured_bands(rows)))
     joined = rows.join(measured, F.col("lang").eqNullSafe(F.col("m_lang")) & (F.col("script") == F.col("m_script")), "left")
     fixed = F.lit(False)
     for script, (low, high, most_bytes, least_entropy) in bands.items():

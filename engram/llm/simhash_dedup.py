@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, with_computed
+from .common import broadcast_if_small, kept, with_computed
 
 SHINGLE = 3
 SEED = 42
@@ -178,5 +178,5 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     again = found.where("m_id = component_id").groupBy("m_id").count().where("count > 1").select("m_id")
     repeated = again.limit(1).count() > 0
     match = F.col("doc_id") == F.col("m_id")
-    out = docs.join(gone.unionByName(again) if repeated else gone, match, "left_anti")
-    return out.unionByName(docs.join(again, match, "left_semi").dropDuplicates(["doc_id"])) if repeated else out
+    out = docs.join(broadcast_if_small(kept(gone.unionByName(again) if repeated else gone)), match, "left_anti")
+    return out.unionByName(docs.join(broadcast_if_small(kept(again)), match, "left_semi").dropDuplicates(["doc_id"])) if repeated else out

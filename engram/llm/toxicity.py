@@ -40,7 +40,7 @@ WINDOW = 12
 FOLDS = 3
 HELD_OUT = 1
 TAU = 0.7
-CACHE_ENTRIES = 100_000
+CACHE_ENTRIES = 60_000
 PAD, END = "\x02", "\x03"
 LETTERS = re.compile(r"[^\W\d_]+")
 
