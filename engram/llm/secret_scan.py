@@ -35,7 +35,7 @@ ALLOWED = (
     r"^[0-9+/_=-]+$"  # digits only
     r"|^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"  # UUID
     r"|^[a-z/_=+-]*[0-9]+$|^[A-Z/_=+-]*[0-9]+$"  # a word of one case and a number
-    r"|(?i)example|placeholder|x{6,}|0{8,}|(?-i)"
+    r"|(?i:example|placeholder|x{6,}|0{8,})"
     r"|^/?(?:[A-Za-z_-]+/){2,}"  # paths
 )
 RUN = 256
