@@ -44,7 +44,7 @@ def latin_tokens(c: Column) -> Column:
         low = F.lower(word)
         whole = F.when(F.length(word) <= LONGEST, F.array(low)).otherwise(F.array().cast("array<string>"))
         parts = F.transform(F.flatten(F.transform(F.split(word, "_+"), lambda p: _all(p, CAMEL))), F.lower)
-        mixed = word.contains("_") | ((F.upper(word) != word) & (low != word))
+        mixed = word.contains("_") | ((F.upper(word) != word) & (low != word) & ~word.rlike("^[A-Z][a-z]*$"))  # a capitalised word is its only part
         return F.concat(whole, F.when(mixed, F.filter(parts, lambda s: F.length(s).between(2, LONGEST) & (s != low))).otherwise(F.array().cast("array<string>")))
 
     return F.flatten(F.transform(_all(_text(c), WORD), of))

@@ -51,6 +51,10 @@ def _all(c: Column, pattern: str, group: int) -> Column:
     return F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit("(?U)" + pattern), F.lit(group))
 
 
+def _tagged(values: Column, kind: str) -> Column:
+    return F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), F.lower(v).alias("value")))
+
+
 def entities(text: Column, code_like: Column | None = None) -> Column:
     """Distinct (kind, value), values in lower case; symbols only where code_like."""
     found = []
@@ -62,10 +66,10 @@ def entities(text: Column, code_like: Column | None = None) -> Column:
         if kind == "config_key":
             values = F.filter(values, lambda v: ~F.lower(v).isin(NOISE_SYMBOLS))
         values = F.filter(values, lambda v: F.length(v).between(3, 200))
-        found.append(F.transform(values, lambda v, kind=kind: F.struct(F.lit(kind).alias("kind"), F.lower(v).alias("value"))))
+        found.append(_tagged(values, kind))
     if code_like is not None:
         symbol = F.filter(_all(text, SYMBOL, 1), lambda v: ~F.lower(v).isin(NOISE_SYMBOLS) & (v.rlike("^.+[A-Z]") | v.contains("_")))
-        found.append(F.when(code_like, F.transform(symbol, lambda v: F.struct(F.lit("symbol").alias("kind"), F.lower(v).alias("value")))).otherwise(
+        found.append(F.when(code_like, _tagged(symbol, "symbol")).otherwise(
             F.array().cast("array<struct<kind:string,value:string>>")))
     return F.array_distinct(F.concat(*found))
 

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 # Fixed values of the guard.
@@ -55,4 +56,4 @@ def modes(samples: DataFrame, budget: float) -> DataFrame:
                 out.append(guard.observe(elapsed or 0.0, bool(overran)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*batch.schema.names, "mode"])
 
-    return samples.repartition("scope").sortWithinPartitions("scope", "seq").mapInArrow(each, samples.schema.add("mode", "string"))
+    return samples.repartition("scope").sortWithinPartitions("scope", "seq").mapInArrow(each, T.StructType([*samples.schema.fields, T.StructField("mode", T.StringType())]))

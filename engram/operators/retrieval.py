@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from engram.functions import text as X
+from engram.session import ensure_checkpoint_dir
 
 # Fixed values of the ranking.
 K1, B, RRF_K = 1.2, 0.75, 60
@@ -22,6 +23,12 @@ ANCHOR_WEIGHTS = {"file": 1.3, "symbol": 1.4, "error": 1.6, "issue": 1.1, "modul
 BOOST_SCALE = 0.004
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """Written to the shared checkpoint folder: what several branches read is computed once and outlives lost executors."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def top(scored: DataFrame, by: list[str], k: int, item: str = "item_id", score: str = "score") -> DataFrame:
     """The k best rows of each query with their rank from 1."""
     order = Window.partitionBy(*by).orderBy(F.round(score, 9).desc(), F.col(item))
@@ -32,12 +39,14 @@ def bm25(docs: DataFrame, queries: DataFrame, weight: Column | None = None) -> D
     """docs: scope, item_id, field, tokens (array); queries: scope, query_id, field, term, weight, each term once per field.
     Returns scope, query_id, item_id, score. An item's length counts tokens of all its fields; the number of items counts
     those without tokens too, the mean length doesn't; a term's document frequency is that of its field."""
-    lengths = docs.select("scope", "item_id", "field", "tokens", F.size("tokens").alias("n"))
-    per_item = lengths.groupBy("scope", "item_id").agg(F.sum("n").alias("dl"))
+    asked = queries.select("scope", "field", "term", F.lit(1).alias("hit")).distinct()
+    # One pass over the texts: postings of the asked terms, and a posting of the empty term that carries each face's length.
+    face = docs.select("scope", "item_id", "field", F.size("tokens").alias("n"), F.explode(F.concat("tokens", F.array(F.lit("")))).alias("term"))
+    face = face.join(asked, ["scope", "field", "term"], "left").where("hit = 1 OR term = ''")
+    postings = kept(face.groupBy("scope", "item_id", "field", "term").agg(F.count("*").alias("tf"), F.max("n").alias("n")))
+    per_item = postings.where("term = ''").groupBy("scope", "item_id").agg(F.sum("n").alias("dl"))
     scopes = per_item.groupBy("scope").agg(F.count("*").alias("items"), F.avg(F.when(F.col("dl") > 0, F.col("dl"))).alias("avgdl"))
-    asked = queries.select("scope", "field", "term").distinct()
-    hits = lengths.select("scope", "item_id", "field", F.explode("tokens").alias("term")).join(asked, ["scope", "field", "term"], "left_semi")
-    tf = hits.groupBy("scope", "field", "term", "item_id").agg(F.count("*").alias("tf"))
+    tf = postings.where("term != ''").drop("n")
     df = tf.groupBy("scope", "field", "term").agg(F.count("*").alias("df"))
     terms = df.join(scopes, "scope").withColumn("idf", F.log1p((F.col("items") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     weighed = queries.join(terms, ["scope", "field", "term"]).select("scope", "query_id", "field", "term", "weight", "idf", "avgdl")

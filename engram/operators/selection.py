@@ -9,6 +9,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 # Fixed values of the output stage.
@@ -70,7 +71,7 @@ def spread_files(ranked: DataFrame, after: int = 2) -> DataFrame:
                 seen |= own
         return frame.loc[picked + late].assign(position=range(1, len(frame) + 1))
 
-    return ranked.groupBy("query_id").applyInPandas(each, ranked.schema.add("position", "int"))
+    return ranked.groupBy("query_id").applyInPandas(each, T.StructType([*ranked.schema.fields, T.StructField("position", T.IntegerType())]))
 
 
 def within_budget(ranked: DataFrame, cap: int = TOKEN_CAP) -> DataFrame:

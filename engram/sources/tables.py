@@ -51,10 +51,10 @@ class Publications:
         self._fs = self._path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def manifest(self) -> dict:
-        at = self._path(f"{self.root}/_manifest.json")
+        at = self._path(f"{self.root}/manifest.json")
         if not self._fs.exists(at):
             return {"schema_version": SCHEMA_VERSION, "tables": {}}
-        found = json.loads("".join(r[0] for r in self.spark.read.text(f"{self.root}/_manifest.json", wholetext=True).collect()))
+        found = json.loads("".join(r[0] for r in self.spark.read.text(f"{self.root}/manifest.json", wholetext=True).collect()))
         if found.get("schema_version") != SCHEMA_VERSION:
             raise ValueError(f"the store has schema version {found.get('schema_version')}, not {SCHEMA_VERSION}")
         return found
@@ -65,7 +65,7 @@ class Publications:
         for name, rows in tables.items():
             rows.write.parquet(f"{self.root}/{name}/pub={publication}")
             live["tables"][name] = publication
-        staged, target = self._path(f"{self.root}/_manifest.{publication}"), self._path(f"{self.root}/_manifest.json")
+        staged, target = self._path(f"{self.root}/manifest.{publication}"), self._path(f"{self.root}/manifest.json")
         out = self._fs.create(staged, True)
         out.write(bytearray(json.dumps(live).encode()))
         out.close()
