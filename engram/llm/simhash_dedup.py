@@ -22,11 +22,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, kept, with_computed
+from .common import broadcast_if_small, kept, trim, with_computed
 
 SHINGLE = 3
 SEED = 42
@@ -85,42 +85,48 @@ def _forest(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
 
 
-def _links_of_lists(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Batches of (key, a, b, fp) sorted by (key, a, b): the links within each list."""
-
-    def links(frame: pd.DataFrame) -> pd.DataFrame:
-        keys = frame[["key", "a", "b"]].to_numpy()
-        fps = frame["fp"].to_numpy().astype(np.int64).view(np.uint64)
-        starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)])
-        sizes = np.diff(np.r_[starts, len(keys)])
-        two = starts[sizes == 2]
-        x = fps[two] ^ fps[two + 1]
-        shared = (x.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1) if len(x) else np.zeros(0, int)
-        near = (shared >= LEAST_SHARED) & (np.bitwise_count(x) <= MAX_BITS)
-        left, right = [fps[two[near]]], [fps[two[near] + 1]]
-        for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
-            u, v = _forest(fps[s : s + n])
-            left.append(u)
-            right.append(v)
-        return pd.DataFrame({"u": np.concatenate(left).view(np.int64), "v": np.concatenate(right).view(np.int64)})
-
-    held: list[pd.DataFrame] = []
+def _links(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The links within each list; keys (three columns) tell the lists apart and are sorted."""
+    starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)])
+    sizes = np.diff(np.r_[starts, len(keys)])
+    two = starts[sizes == 2]
+    x = fps[two] ^ fps[two + 1]
+    shared = (x.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
+    near = (shared >= LEAST_SHARED) & (np.bitwise_count(x) <= MAX_BITS)
+    left, right = [fps[two[near]]], [fps[two[near] + 1]]
+    for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
+        u, v = _forest(fps[s : s + n])
+        left.append(u)
+        right.append(v)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _links_of_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of (key, a, b, fp) sorted by (key, a, b): the links within each list. What is held back of a batch is its last
+    list, which the next batch may go on with."""
+
+    def out(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+        u, v = _links(keys, fps)
+        return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
+
+    held_keys: list[np.ndarray] = []
+    held: list[np.ndarray] = []
     for batch in batches:
-        if not len(batch):
+        if not batch.num_rows:
             continue
-        last = batch[["key", "a", "b"]].iloc[-1]
-        same = ((batch["key"] == last["key"]) & (batch["a"] == last["a"]) & (batch["b"] == last["b"])).to_numpy()
-        cut = int(np.argmax(same))
-        if cut:  # an earlier list ends in this batch
-            yield links(pd.concat([*held, batch.iloc[:cut]]))
-            held = [batch.iloc[cut:]]
-        elif held and tuple(held[-1][["key", "a", "b"]].iloc[-1]) != tuple(last):
-            yield links(pd.concat(held))
-            held = [batch]
-        else:
-            held.append(batch)
+        keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)], axis=1)
+        fps = batch.column(3).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+        first = int(np.argmax((keys == keys[-1]).all(axis=1)))  # where the batch's last list begins
+        if held and (first or (held_keys[-1][-1] != keys[-1]).any()):
+            yield out(np.concatenate([*held_keys, keys[:first]]), np.concatenate([*held, fps[:first]]))
+            held_keys, held = [], []
+        elif first:
+            yield out(keys[:first], fps[:first])
+        held_keys.append(keys[first:].copy())
+        held.append(fps[first:].copy())
     if held:
-        yield links(pd.concat(held))
+        yield out(np.concatenate(held_keys), np.concatenate(held))
+    trim()
 
 
 def candidate_links(distinct: DataFrame, list_limit: int = LIST_LIMIT) -> DataFrame:
@@ -134,7 +140,7 @@ def candidate_links(distinct: DataFrame, list_limit: int = LIST_LIMIT) -> DataFr
     lists = lists.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
     lists = lists.select("key", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     lists = lists.select("key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "fp")
-    return lists.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b").mapInPandas(_links_of_lists, "u long, v long").distinct()
+    return lists.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b").mapInArrow(_links_of_lists, "u long, v long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
