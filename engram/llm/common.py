@@ -94,12 +94,14 @@ STEP_ROWS = 256
 ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32())}
 
 
-def with_computed(rows: DataFrame, inputs: tuple[str, ...], start: Callable[[], Callable[..., tuple]], new: dict[str, str]) -> DataFrame:
+def with_computed(rows: DataFrame, inputs: tuple[str, ...], start: Callable[[], Callable[..., tuple]], new: dict[str, str], without: tuple[str, ...] = ()) -> DataFrame:
     """rows with the columns `new` (name to type) added, whose names must be free. start runs once in each task and returns a function
-    from the lists of the inputs' values to the new columns' values; the other columns pass through as they are."""
+    from the lists of the inputs' values to the new columns' values; the other columns pass through as they are, but for those in
+    `without`, which don't travel back from Python."""
     if taken := set(new) & set(rows.columns):
         raise ValueError(f"columns {sorted(taken)} exist already")
     at = [rows.columns.index(c) for c in inputs]
+    stay = [i for i, c in enumerate(rows.columns) if c not in without]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = start()
@@ -108,9 +110,9 @@ def with_computed(rows: DataFrame, inputs: tuple[str, ...], start: Callable[[],
                 batch = whole.slice(start_row, STEP_ROWS)
                 found = compute(*[batch.column(i).to_pylist() for i in at])
                 columns = [pa.array(v, ARROW[t]) for v, t in zip(found, new.values())]
-                yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *new])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in stay), *columns], names=[*(batch.schema.names[i] for i in stay), *new])
         del compute
         trim()
 
-    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in rows.schema.fields] + [T.StructField(c, T._parse_datatype_string(t), True) for c, t in new.items()])
+    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in rows.schema.fields if f.name not in without] + [T.StructField(c, T._parse_datatype_string(t), True) for c, t in new.items()])
     return rows.mapInArrow(each, schema)

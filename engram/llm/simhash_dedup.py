@@ -61,7 +61,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     def start():
         return lambda texts: (np.fromiter((fingerprint(t, shingle) for t in texts), dtype=np.uint64, count=len(texts)).view(np.int64),)
 
-    return with_computed(docs.select("doc_id", "text"), ("text",), start, {"fp": "long"}).select("doc_id", "fp")
+    return with_computed(docs.select("doc_id", "text"), ("text",), start, {"fp": "long"}, without=("text",))
 
 
 def _forest(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
