@@ -133,3 +133,19 @@ def boost(ranks: Column, has_patch: Column, has_files: Column) -> Column:
     missed = F.when(found.isNull(), F.lit(-1.5)).otherwise(F.lit(0.0))
     form = F.when(has_patch, F.lit(0.8)).when(has_files, F.lit(0.3)).otherwise(F.lit(0.0))
     return F.lit(BOOST_SCALE) * (term("entity", 1.0) + term("anchor", 1.2) + term("field", 0.7) + missed + F.lit(0.4) + form)
+
+
+def word_overlap(sessions: DataFrame, queries: DataFrame) -> DataFrame:
+    """sessions: session_id, text (any number of rows each); queries: query_id, words (distinct, of [a-z0-9_], three characters or more).
+    query_id, session_id, ratio: the share of a query's words that occur anywhere in a session's text, parts of longer words
+    included; pairs without any don't appear. An occurrence lies within one run of word characters, so the distinct
+    runs meet the distinct query words by three-character parts, and nothing is compared with everything."""
+    runs = sessions.select("session_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z0-9_]{3,}"), F.lit(0)))).alias("run")).distinct()
+    words = queries.select("query_id", F.size("words").alias("n"), F.explode("words").alias("word"))
+    parts = lambda run: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(run) - 2), lambda i: F.substr(run, i, F.lit(3))))
+    by_part = runs.select("run").distinct().select("run", F.explode(parts(F.col("run"))).alias("part"))
+    wanted = words.select("word", F.substring("word", 1, 3).alias("part")).distinct()
+    held = by_part.join(wanted, "part").where(F.col("run").contains(F.col("word"))).select("run", "word")
+    found = runs.join(held, "run").select("session_id", "word").distinct()
+    hits = found.join(words, "word").groupBy("query_id", "session_id").agg(F.count("*").alias("hits"), F.first("n").alias("n"))
+    return hits.select("query_id", "session_id", (F.col("hits") / F.col("n")).alias("ratio"))

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from engram.functions import text as X
-from engram.operators import chunking, extraction, health, ingest, retrieval, selection
+from engram.operators import cards, chunking, evidence, extraction, health, ingest, rendering, retrieval, selection
+from engram.sources import models
 from engram.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -169,13 +170,13 @@ def anchor_idf(spark, sf):
 
 
 _COSINE = """cs AS (SELECT q.vec_id AS query_id, v.vec_id AS item_id, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS score
-  FROM embeddings q JOIN embeddings v ON q.vec_id < 10 AND q.label = v.label),
+  FROM embeddings q JOIN embeddings v ON q.vec_id % 50 = 0 AND q.label = v.label),
 cr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, item_id) AS rank FROM cs)"""
 
 
 def _vector_scores(spark, sf) -> DataFrame:
     e = table(spark, sf, "embeddings").select(F.col("label").alias("scope"), F.col("vec_id").alias("item_id"), F.col("embedding").alias("vec"))
-    return retrieval.vector_scores(e, e.where("item_id < 10").select("scope", F.col("item_id").alias("query_id"), F.col("vec").alias("qvec")))
+    return retrieval.vector_scores(e, e.where("item_id % 50 = 0").select("scope", F.col("item_id").alias("query_id"), F.col("vec").alias("qvec")))
 
 
 @query(f"WITH {_COSINE} SELECT query_id, item_id, rank::INTEGER AS rank, round(score, 6) AS score FROM cr WHERE rank <= 20")
@@ -495,14 +496,165 @@ def test_digest(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.array_join(extraction.test_digest(chunking.lines(t)), "|").alias("digest"))
 
 
-@query("""WITH q AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]{3,}')) AS w FROM benchmark WHERE item_id < 5), c AS (SELECT conv_id, lower(string_agg(text, ' ' ORDER BY turn)) AS t FROM conversations GROUP BY conv_id)
-SELECT item_id, conv_id, round(len(list_filter(w, lambda x: contains(t, x))) / len(w), 4) AS ratio FROM q, c""")
+@query("""WITH q AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]{3,}'))) AS w FROM benchmark),
+n AS (SELECT item_id, count(*) AS n FROM q GROUP BY item_id), d AS (SELECT DISTINCT w FROM q),
+c AS (SELECT DISTINCT conv_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]{3,}')) AS r FROM conversations), v AS (SELECT DISTINCT r FROM c),
+h AS (SELECT DISTINCT conv_id, w FROM c JOIN (SELECT r, w FROM v JOIN d ON contains(r, w)) USING (r))
+SELECT item_id, conv_id, round(count(*) / any_value(n), 4) AS ratio FROM h JOIN q USING (w) JOIN n USING (item_id) GROUP BY item_id, conv_id""")
 def pending_overlap(spark, sf):
-    """[A18, R17, J12, F14] The words of five queries against every session."""
-    q = table(spark, sf, "benchmark").where("item_id < 5").select("item_id", X.content_words(F.col("text")).alias("w"))
-    c = table(spark, sf, "conversations").groupBy("conv_id").agg(F.lower(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda m: m["text"]), " ")).alias("t"))
-    hit = F.size(F.filter("w", lambda x: F.col("t").contains(x)))
-    return c.crossJoin(F.broadcast(q)).select("item_id", "conv_id", F.round(F.try_divide(hit, F.size("w")), 4).alias("ratio"))
+    """[A18, R17, J12, F14] The words of every query against every session; pairs without overlap are dropped."""
+    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), X.content_words(F.col("text")).alias("words"))
+    c = table(spark, sf, "conversations").select(F.col("conv_id").alias("session_id"), "text")
+    return retrieval.word_overlap(c, q).select(F.col("query_id").alias("item_id"), F.col("session_id").alias("conv_id"), F.round("ratio", 4).alias("ratio"))
+
+
+# -- G: cards ---------------------------------------------------------------------------------------------------------
+
+_FILE = "'src/' || lower(p_type[1:3]) || '_' || p_size || '.py'"
+
+
+def _parts(spark, sf) -> DataFrame:
+    name = F.concat(F.lit("src/"), F.lower(F.substring("p_type", 1, 3)), F.lit("_"), F.col("p_size").cast("string"), F.lit(".py"))
+    return table(spark, sf, "part").select("*", _patch().alias("patch"), name.alias("file"), F.col("p_size").cast("string").alias("size"))
+
+
+@query(f"SELECT p_partkey, '文件：' || {_FILE} || chr(10) || '位置：第 1 行' || chr(10) || '修改前：' || chr(10) || '(无)' || chr(10) || '修改后：' || chr(10) || 'def fn_' || p_size || '(x):' || chr(10) || 'class C' || p_size || ':' AS change FROM part")
+def change_blocks(spark, sf):
+    """[X12, X32]"""
+    return _parts(spark, sf).select("p_partkey", rendering.change_blocks(F.col("patch")).alias("change"))
+
+
+@query(f"""SELECT p_partkey, '涉及文件：' || {_FILE} || chr(10) || '变更涉及的标识符：def, fn_' || p_size || ', class' || CASE WHEN p_size >= 10 THEN ', C' || p_size ELSE '' END || chr(10)
+ || '符号：fn_' || p_size || ', C' || p_size || chr(10) || '{rendering.SUMMARY_END}' AS summary FROM part""")
+def change_summary(spark, sf):
+    """[X13]"""
+    return _parts(spark, sf).select("p_partkey", rendering.change_summary(F.col("patch"), F.array("file"), extraction.symbols_of_patch(F.col("patch"))).alias("summary"))
+
+
+@query(f"""WITH t AS (SELECT p_partkey, p_size, '{rendering.IDEA_HEAD}' || chr(10) || '问题：' || p_name || chr(10) || '{rendering.IDEA_MECHANISM}' || p_type || chr(10) || '{rendering.IDEA_VERIFY}' || chr(10) || '- ' || p_brand || chr(10)
+ || '边界：' || chr(10) || '- ' || p_size || ' → 期望：ok' AS t FROM part) SELECT p_partkey, CASE WHEN floor(length(t) / 3.2) + 1 <= 45 + p_size % 10 THEN t ELSE '' END AS content FROM t""")
+def idea_cards(spark, sf):
+    """[X15, X16]"""
+    edges = F.array(F.struct(F.col("size").alias("case"), F.lit("ok").alias("expected")))
+    return _parts(spark, sf).select("p_partkey", rendering.idea(F.col("p_name"), F.col("p_type"), F.array("p_brand"), edges, 45 + F.col("p_size") % 10).alias("content"))
+
+
+@query()
+def packets(spark, sf):
+    """[X9, X14, X31, W4] Packets under the cap of their rank's tier, scaled down so that all steps of giving way occur."""
+    rows = _parts(spark, sf).select(
+        "p_partkey", "p_size", F.col("p_name").alias("problem"), F.array("file").alias("files"), extraction.symbols_of_patch(F.col("patch")).alias("symbols"), "patch", F.concat(F.lit("pytest tests/test_"), "size", F.lit(".py")).alias("cmd"))
+    return rendering.rendered(rows, selection.tier_cap(F.col("p_size")) / 16, F.col("p_size") % 3 != 0).select("p_partkey", "content")
+
+
+@query(f"""WITH r AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank, '<case id="experience:' || doc_id || '">' || chr(10) || 'id=experience:' || doc_id
+ || CASE WHEN length(text) > 0 THEN chr(10) || '问题：' || substr(text, 1, 200) ELSE '' END || chr(10) || '</case>' AS c FROM documents),
+u AS (SELECT *, '# 当前 issue' || chr(10) || trim(source) || chr(10) || chr(10) || '{rendering.JUDGE_CASES}' AS head, sum(length(c) + 1) OVER (PARTITION BY source ORDER BY rank) AS used FROM r WHERE rank <= 200)
+SELECT source, any_value(head) || coalesce(string_agg(chr(10) || c, '' ORDER BY rank) FILTER (length(head) + used <= 9000), '') AS prompt FROM u GROUP BY source""")
+def judge_prompts(spark, sf):
+    """[X17, O4]"""
+    d = table(spark, sf, "documents").select(F.col("source").alias("query_id"), F.col("source").alias("query"), F.col("doc_id").alias("item_id"), F.lit(0.0).alias("score"), F.col("text").alias("problem"))
+    ranked = retrieval.top(d, ["query_id"], retrieval.POOL_SIZE)
+    return rendering.judge_prompts(ranked).select(F.col("query_id").alias("source"), "prompt")
+
+
+@query(f"SELECT conv_id, turn FROM conversations WHERE NOT (regexp_matches(substr(text, 1, 600), '{cards.SETUP}') AND length(text) < 2000)")
+def setup_filter(spark, sf):
+    """[P4]"""
+    return table(spark, sf, "conversations").where(~cards.is_setup(F.col("text"))).select("conv_id", "turn")
+
+
+@query("""SELECT p_partkey, 'see src/a_' || p_size || '.py and, then ok (pkg.mod_' || p_size || ')' AS told FROM part""")
+def strip_anchors(spark, sf):
+    """[P17]"""
+    p = _parts(spark, sf)
+    text = F.concat(F.lit("see src/a_"), "size", F.lit(".py and lib/b_"), "size", F.lit(".py , then ok (pkg.mod_"), "size", F.lit(" KeyError)"))
+    return p.select("p_partkey", cards.strip_ungrounded(text, F.concat(F.lit("src/a_"), "size", F.lit(".py pkg.mod_"), "size")).alias("told"))
+
+
+@query("SELECT p_partkey, p_size % 2 = 0 AS grounded FROM part")
+def pitfalls(spark, sf):
+    """[P16]"""
+    evidence_ = F.when(F.col("p_size") % 2 == 0, F.lit("calls cache_reset twice")).otherwise(F.lit("an error in a file"))
+    return table(spark, sf, "part").select("p_partkey", cards.pitfall_grounded(F.lit("cache_reset failed with error"), evidence_).alias("grounded"))
+
+
+@query("SELECT p_partkey, p_size % 3 = 0 OR p_size % 3 = 1 AND p_size % 2 = 0 AS shown FROM part")
+def patch_gate(spark, sf):
+    """[P24, R20]"""
+    kind, value = F.when(F.col("p_size") % 3 == 0, "path").otherwise("symbol"), F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("lib/"), F.element_at(F.split("file", "/"), -1))).when(F.col("p_size") % 3 == 1, F.lit("even_fn")).otherwise(F.lit("Grid"))
+    text = F.when(F.col("p_size") % 2 == 0, "uses Even_Fn").otherwise("uses nothing")
+    return _parts(spark, sf).select("p_partkey", cards.shows_patch(F.array(F.struct(kind.alias("kind"), value.alias("value"))), F.array("file"), text, F.col("patch")).alias("shown"))
+
+
+@query(f"SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'old/' || lower(p_type[1:3]) || '_' || p_size || '.py' ELSE 'a.py,b.py' END AS files FROM part")
+def clamp_files(spark, sf):
+    """[P27, X24]"""
+    p = _parts(spark, sf).select("p_partkey", F.col("p_partkey").alias("session_id"), "p_size", "file", F.col("patch").alias("text"))
+    final = evidence.last_diff(p.select("session_id", "text", F.lit(0).alias("pos")))
+    own = F.when(F.col("p_size") % 2 == 0, F.array(F.replace("file", F.lit("src/"), F.lit("old/")), F.lit("b.py"))).otherwise(F.array(F.lit("a.py"), F.lit("b.py")))
+    return p.join(final, "session_id").select("p_partkey", F.array_join(cards.clamped_files(own, F.col("files")), ",").alias("files"))
+
+
+@query(f"SELECT p_partkey, 'module=src/' || lower(p_type[1:3]) || '_' || p_size || '.py,version=1.' || p_size || ',test_name=tests/t.py::test_' || p_size || ',frame=src/x.py:' || p_size || ',error=KeyError' AS facts FROM part")
+def card_conditions(spark, sf):
+    """[X8, P26]"""
+    text = F.concat(F.lit('File "src/x.py", line '), "size", F.lit("\nFAILED tests/t.py::test_"), "size", F.lit("\nTypeError KeyError"))
+    c = cards.conditions(F.lit(None), F.array("file"), F.concat(F.lit("version 1."), "size", F.lit(" KeyError")), text)
+    return _parts(spark, sf).select("p_partkey", F.array_join(F.transform(c, lambda x: F.concat(x["type"], F.lit("="), x["value"])), ",").alias("facts"))
+
+
+@query(f"SELECT p_partkey, {_PATCH} AS patch FROM part")
+def session_patches(spark, sf):
+    """[X1, X2, X3] Each patch told twice, between prose."""
+    p = _parts(spark, sf)
+    twice = p.select(F.col("p_partkey").alias("session_id"), F.explode(F.array(F.lit(1), F.lit(2))).alias("pos"), F.concat(F.lit("intro\n"), "patch", F.lit("\nAll done")).alias("text"))
+    return evidence.patches(twice.withColumn("message_id", F.col("pos"))).select(F.col("session_id").alias("p_partkey"), "patch")
+
+
+@query()
+def session_windows(spark, sf):
+    """[X18, X19, X29, W10, W11, O7]"""
+    c = table(spark, sf, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("pos"), F.col("turn").alias("message_id"), "role", F.lit("prose").alias("kind"), F.concat_ws(":", "conv_id", "turn").alias("chunk_id"), "text")
+    return evidence.windows(c)
+
+
+@query("""SELECT conv_id AS card_id, 'src/x.py' AS files, 'KeyError' AS conditions FROM conversations WHERE turn = 0 AND conv_id % 2 = 0""")
+def admitted_cards(spark, sf):
+    """[X10, X11, P15, P18, P26] One proposal per conversation; every second cites a chunk of its own."""
+    c = table(spark, sf, "conversations").where("turn = 0").select(F.col("conv_id").alias("session_id"))
+    chunks = c.select("session_id", F.concat(F.lit("c"), F.col("session_id").cast("string")).alias("chunk_id"), F.lit("src/x.py raised KeyError").alias("text"))
+    lists = {"files": F.array(F.lit("src/x.py"), F.lit("y.py")), "symbols": F.array(F.lit("zap")), "pitfalls": F.array(F.lit("vague")), "source_ids": F.array(F.when(F.col("session_id") % 2 == 0, F.concat(F.lit("c"), F.col("session_id").cast("string"))).otherwise("zz"))}
+    told = {"problem": F.lit("fails in src/x.py"), "implement": F.lit("guard it"), **{n: F.lit(None).cast("string") for n in ("locate", "shape", "boundaries", "acceptance", "mechanism")}}
+    facts = F.array(F.struct(F.lit("symbol").alias("type"), F.lit("KeyError").alias("value")), F.struct(F.lit("line").alias("type"), F.lit("src").alias("value")))
+    proposed = c.withColumns({"card_id": F.col("session_id"), "conditions": facts, **lists, **told})
+    return cards.admitted(proposed, chunks).select("card_id", F.array_join("files", ",").alias("files"), F.array_join(F.transform("conditions", lambda x: x["value"]), ",").alias("conditions"))
+
+
+# -- H: models --------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, 64 AS dim FROM documents")
+def embedded_documents(spark, sf):
+    """[S20, J10, T17, T20]"""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("item_id"), "text")
+    new = retrieval.kept(models.missing_vectors(d, spark.createDataFrame([], "key string, vec array<double>"), models.hashed_embedder(), "hashed", 64))
+    return models.vectors(d, new, "hashed", 64).select(F.col("item_id").alias("doc_id"), F.size("vec").alias("dim"))
+
+
+@query("SELECT item_id, 'read: ' || coalesce(text, '') AS answer FROM benchmark")
+def model_answers(spark, sf):
+    """[S21, X22, X23]"""
+    b = table(spark, sf, "benchmark").select(F.col("item_id").alias("prompt_id"), F.col("text").alias("prompt"))
+    return models.answers(b, "read: ".__add__).select(F.col("prompt_id").alias("item_id"), "answer")
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 3 <> 0 THEN round(least(1.0, p_size / 40.0), 6) END AS second FROM part")
+def rerank_response(spark, sf):
+    """[S22]"""
+    results = F.concat(F.lit('{"results": [{"index": 1, "score": '), (F.col("p_size") / 40).cast("string"), F.lit("}"), F.when(F.col("p_size") % 3 != 0, F.lit(', {"index": 0, "score": -1}')).otherwise(F.lit("")), F.lit("]}"))
+    body = F.when(F.col("p_size") % 2 == 0, results).otherwise(F.concat(F.lit('{"output": '), results, F.lit("}")))
+    return table(spark, sf, "part").select("p_partkey", F.round(models.rerank_scores(body, F.lit(2))[F.lit(1)], 6).alias("second"))
 
 
 # -- F: load ----------------------------------------------------------------------------------------------------------
