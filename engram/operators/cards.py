@@ -7,10 +7,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from engram.operators import extraction
 from engram.operators.chunking import lines
-from engram.operators.rendering import strip
+from engram.operators.rendering import card_columns, strip
 
 # What counts as an anchor in prose, words too common to ground a pitfall, closed kinds, sizes.
 PROSE_PATH = r"[A-Za-z0-9_./\\~-]+\.(?:" + extraction._EXTENSIONS + r"|gradle|mod|lock)\b"
@@ -27,6 +28,11 @@ FAILED_TEST = r"(?m)^\s*FAILED\s+(\S+)"
 FRAME = r"""File "([^"\n]+)", line (\d+)"""
 VERSION = r"(?i)\b(?:version|v)\s*([0-9]+(?:\.[0-9]+){1,2})\b"
 MODULE = r"^([A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+)"
+KINDS = {"debug": "debug bugfix bug fix defect".split(), "feature": "feature enhancement dev development".split()}
+FEATURE_CUES = ("support ", "add ", "implement", "introduce", "extend", "allow ", "new feature", "feature request", "enhancement", "支持", "新增", "实现", "扩展", "增强")
+DEBUG_CUES = ("error", "exception", "traceback", "bug", "fix", "broken", "crash", "regression", "fails", "failing", "wrong", "报错", "异常", "修复", "失败")
+SPAN = r"(?s).{0,239}?(?:[.!?。！？;；](?=\s|\z)|\n)|.{239}[.!?。！？;；]|.{1,240}\z|.{120,239}(?<=\S)(?=\s)|.{240}"
+EVIDENCE_KINDS = "diff command test_result stack log".split()
 MOST_CONDITIONS, MOST_PITFALLS, MOST_FILES, MOST_SYMBOLS = 8, 3, 8, 12
 NARRATIVE = ("problem", "locate", "implement", "shape", "boundaries", "acceptance", "mechanism")
 CONDITIONS = "array<struct<type:string,value:string>>"
@@ -144,3 +150,53 @@ def shows_patch(query_anchors: Column, files: Column, text: Column, patch: Colum
     shared = F.arrays_overlap(paths, F.transform(files, base)) | F.exists(names, lambda n: F.lower(text).contains(n))
     unanchored = F.size(query_anchors) == 0
     return F.when(~F.coalesce(F.length(patch) > 0, F.lit(False)), True).when((F.size(paths) == 0) & (F.size(names) == 0), unanchored).otherwise(F.coalesce(shared, F.lit(False)))
+
+
+def kind_of(said: Column, *texts: Column) -> Column:
+    """debug or feature: what a card says of itself (aliases included), where its texts don't tell otherwise; texts with a cue of either
+    kind, those of debug first, else debug. debug said of texts that only ask for a feature is a feature."""
+    text = F.lower(F.concat_ws(" ", *texts))
+    cued = lambda cues: F.exists(F.array(*map(F.lit, cues)), lambda cue: text.contains(cue))
+    inferred = F.when(~cued(DEBUG_CUES) & cued(FEATURE_CUES), F.lit("feature")).otherwise(F.lit("debug"))
+    low = F.lower(strip(said))
+    return F.when(low.isin(KINDS["feature"]), F.lit("feature")).otherwise(inferred)
+
+
+def joined_once(parts: Column) -> Column:
+    """Parts with white space collapsed, joined by blanks; a part that the text before it holds, whatever its case, is left out."""
+    clean = F.filter(F.transform(parts, lambda p: strip(F.regexp_replace(p, r"(?U)\s+", " "))), lambda p: F.coalesce(p != "", F.lit(False)))
+    return F.aggregate(clean, F.lit(""), lambda out, p: F.when(F.lower(out).contains(F.lower(p)), out).when(out == "", p).otherwise(F.concat(out, F.lit(" "), p)))
+
+
+def faces(cards: DataFrame) -> Column:
+    """The text of a card by field, as it is indexed: problem, locate, implement, test. cards: columns as in rendering.CARD; those that a
+    table lacks count as absent."""
+    c = card_columns(cards)
+    one = lambda *names: [F.array(c(n)) for n in names]
+    of = lambda *kinds: F.transform(F.filter(c("conditions"), lambda x: x["type"].isin(*kinds)), lambda x: x["value"])
+    groups = {
+        "problem": [*one("problem"), of("error", "version")], "locate": [*one("locate"), c("files"), c("symbols"), of("module", "symbol", "frame")],
+        "implement": [*one("implement", "patch"), c("pitfalls"), *one("shape", "boundaries", "acceptance")], "test": [*one("cmd", "result"), of("test_name")]}
+    return F.create_map(*[x for name, parts in groups.items() for x in (F.lit(name), joined_once(F.concat(*parts)))])
+
+
+def spans(text: Column, prefix: str, most: int) -> Column:
+    """Numbered pieces (id, text) of the first `most` characters, each an exact part of the text: up to a sentence's or line's end, else a
+    blank beyond half of 240 characters, else 240."""
+    pieces = F.filter(F.transform(F.regexp_extract_all(F.substring(F.coalesce(text, F.lit("")), 1, most), F.lit(SPAN), F.lit(0)), strip), lambda t: t != "")
+    return F.transform(pieces, lambda t, i: F.struct(F.concat(F.lit(prefix), F.format_string("%02d", i + 1)).alias("id"), t.alias("text")))
+
+
+def evidence_chunks(chunks: DataFrame, marks: tuple[str, ...] = ("diff --git", "Traceback", "[工具调用]", "passed")) -> DataFrame:
+    """chunks: kind, text. Those of a kind that shows work, or whose text holds a mark."""
+    marked = F.lit(False)
+    for mark in marks:
+        marked = marked | F.col("text").contains(mark)
+    return chunks.where(F.col("kind").isin(EVIDENCE_KINDS) | marked)
+
+
+def once_per_session(cards: DataFrame, order: str = "card_id") -> DataFrame:
+    """cards: session_id, problem, files. Of cards of a session with the same problem and files the first."""
+    key = F.sha2(F.concat_ws("\x1f", F.coalesce("problem", F.lit("")), F.array_join(F.coalesce("files", F.array().cast("array<string>")), "\x1e")).cast("binary"), 256)
+    place = F.row_number().over(Window.partitionBy("session_id", key).orderBy(order))
+    return cards.withColumn("_n", place).where("_n = 1").drop("_n")

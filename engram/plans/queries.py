@@ -631,6 +631,64 @@ def admitted_cards(spark, sf):
     return cards.admitted(proposed, chunks).select("card_id", F.array_join("files", ",").alias("files"), F.array_join(F.transform("conditions", lambda x: x["value"]), ",").alias("conditions"))
 
 
+@query("SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN 'feature' WHEN p_size % 4 = 1 THEN 'debug' WHEN p_size % 4 = 2 THEN 'feature' ELSE 'debug' END AS kind FROM part")
+def card_kinds(spark, sf):
+    """[F27]"""
+    m = F.col("p_size") % 4
+    said = F.when(m == 0, " Enhancement").when(m == 1, "bugfix").when(m == 2, "debug")
+    text = F.when(m == 0, "an error").when(m == 1, "nothing known").when(m == 2, "Support more").otherwise("add what fails")
+    return table(spark, sf, "part").select("p_partkey", cards.kind_of(said, text).alias("kind"))
+
+
+@query(f"SELECT p_partkey, p_name || ' KeyError' AS problem, {_FILE} || ' fn_' || p_size || ' C' || p_size AS locate FROM part")
+def card_faces(spark, sf):
+    """[F28, F30, R23]"""
+    facts = F.array(*[F.struct(F.lit(t).alias("type"), F.lit(v).alias("value")) for t, v in (("error", "KeyError"), ("error", "keyerror"), ("module", "src/"))])
+    p = _parts(spark, sf).select("p_partkey", F.col("p_name").alias("problem"), F.array("file", F.element_at(F.split("file", "/"), -1)).alias("files"), extraction.symbols_of_patch(F.col("patch")).alias("symbols"), facts.alias("conditions"))
+    return p.withColumn("f", cards.faces(p)).select("p_partkey", F.col("f")["problem"].alias("problem"), F.col("f")["locate"].alias("locate"))
+
+
+@query()
+def source_spans(spark, sf):
+    """[F15, F16, R13] Whole texts in numbered pieces."""
+    return table(spark, sf, "documents").select("doc_id", F.explode(cards.spans(F.col("text"), "Q", 1 << 30)).alias("s")).select("doc_id", "s.id", "s.text")
+
+
+@query("""SELECT doc_id, CASE WHEN length(text) = 0 OR text IS NULL THEN 0 WHEN strpos(text, chr(10) || chr(10)) > 0 THEN CASE WHEN length(text) = strpos(text, chr(10) || chr(10)) + 1 THEN 0 ELSE floor((length(text) - strpos(text, chr(10) || chr(10)) - 1) / 3.2)::INTEGER + 1 END
+ ELSE floor(length(text) / 3.2)::INTEGER + 1 END AS tokens FROM documents""")
+def body_tokens(spark, sf):
+    """[F19]"""
+    return table(spark, sf, "documents").select("doc_id", rendering.body_tokens(F.col("text")).alias("tokens"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN '' ELSE chr(10) || '适用性提示（模型判断，非事实）：' || CASE WHEN p_size % 3 = 1 THEN 'no' ELSE 'unknown' END || '：' || p_type END AS hint FROM part")
+def judge_hints(spark, sf):
+    """[R16]"""
+    verdict = F.when(F.col("p_size") % 3 == 0, "yes").when(F.col("p_size") % 3 == 1, "no").otherwise("unknown")
+    return table(spark, sf, "part").select("p_partkey", rendering.judgement_hint(verdict, F.col("p_type")).alias("hint"))
+
+
+@query("SELECT l_orderkey, l_suppkey, min(l_partkey) AS l_partkey FROM lineitem GROUP BY l_orderkey, l_suppkey")
+def cards_once(spark, sf):
+    """[D7]"""
+    l = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("session_id"), F.col("l_suppkey").cast("string").alias("problem"), F.array(F.lit("a.py")).alias("files"), F.col("l_partkey").alias("card_id"), "l_suppkey")
+    return cards.once_per_session(l).select(F.col("session_id").alias("l_orderkey"), "l_suppkey", F.col("card_id").alias("l_partkey"))
+
+
+@query("SELECT conv_id, turn FROM conversations WHERE role = 'assistant' AND turn % 3 = 0 OR contains(text, 'diff --git') OR contains(text, 'Traceback') OR contains(text, '[工具调用]') OR contains(text, 'passed')")
+def evidence_scan(spark, sf):
+    """[S9]"""
+    c = table(spark, sf, "conversations").withColumn("kind", F.when((F.col("role") == "assistant") & (F.col("turn") % 3 == 0), "stack").otherwise("prose"))
+    return cards.evidence_chunks(c).select("conv_id", "turn")
+
+
+@query("SELECT p_partkey, p_size % 2 = 0 AS quotes FROM part")
+def patch_quotes(spark, sf):
+    """[P22]"""
+    told = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("it now runs Return fn of "), "size", F.lit("  twice"))).otherwise("it changes")
+    return _parts(spark, sf).select("p_partkey", cards.quotes_patch(told, F.concat(F.lit("+  return fn of "), "size", F.lit("\n+x = 1"))).alias("quotes"))
+
+
 # -- H: models --------------------------------------------------------------------------------------------------------
 
 

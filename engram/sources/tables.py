@@ -69,12 +69,18 @@ class Publications:
         out = self._fs.create(staged, True)
         out.write(bytearray(json.dumps(live).encode()))
         out.close()
-        if self._fs.exists(target):
-            self._fs.delete(target, False)
-        if not self._fs.rename(staged, target):
-            raise OSError(f"{target.toString()} can't be replaced")
+        self._replace(staged, target)
         return publication
 
+    def _replace(self, staged, target) -> None:
+        """One rename over what is there, so that readers find the old manifest or the new one."""
+        context, hadoop = self.spark.sparkContext, self.spark.sparkContext._jvm.org.apache.hadoop.fs
+        kind = getattr(hadoop, "Options$Rename")
+        how = context._gateway.new_array(kind, 1)
+        how[0] = kind.OVERWRITE
+        files = hadoop.FileContext.getFileContext(self._fs.getUri(), context._jsc.hadoopConfiguration())
+        files.rename(self._fs.makeQualified(staged), self._fs.makeQualified(target), how)
+
     def read(self, name: str, manifest: dict | None = None) -> DataFrame:
         live = (manifest or self.manifest())["tables"]
         if name not in live:

@@ -162,3 +162,30 @@ def test_answers_and_rerank_scores(spark):
     assert score({"results": [{"index": 1, "relevance_score": 1.5}, {"index": 0, "score": -1}]}) == {1: 1.0, 0: 0.0}
     assert score({"output": {"results": [{"index": 0, "relevance_score": 0.5}, {"index": 1, "relevance_score": 0.25}]}}) == {0: 0.5, 1: 0.25}
     assert score({"results": [{"index": 1, "score": 1}]}) is None and score("no json") is None
+
+
+def test_cut_to_tokens(spark):
+    cut = lambda t, cap: one(spark, rendering.cut_to_tokens(F.col("t"), F.lit(cap)), t=t)
+    assert cut("short", 10) == "short" and cut("x" * 50, 0) == "" and cut("x" * 50, 1) == "xxx" and cut("x" * 50, 5) == "x" * 12 + " …"
+    assert cut("abcdefghi\njk lmnopqrst", 5) == "abcdefghi …" and cut("ab cdefghijklmnopqrst", 5) == "ab cdefghijk …" and cut("abcdefghij klmnopqrst", 5) == "abcdefghij …"
+
+
+def by_hand(text, most):
+    out, at, text = [], 0, text[:most]
+    while at < len(text):
+        ends = [k + 1 for k in range(at, min(at + 240, len(text))) if text[k] == "\n" or text[k] in ".!?" and (k + 1 == min(at + 240, len(text)) or text[k + 1].isspace())]
+        end = min(at + 240, len(text))
+        if ends:
+            end = ends[0]
+        elif end < len(text):
+            gaps = [k for k in range(at + 1, end) if text[k].isspace() and not text[k - 1].isspace()]
+            end = gaps[-1] if gaps and gaps[-1] - at >= 120 else end
+        out.append(text[at:end].strip())
+        at = end
+    return [t for t in out if t]
+
+
+@pytest.mark.parametrize("text", ["", "One. Two? v1.2 three\nfour", "a" * 600, ("word " * 100).strip(), "b" * 239 + ".c" + "d" * 30, "w" * 130 + " " + "v" * 300, "  \n\n x."])
+def test_spans_are_those_of_a_plain_walk(spark, text):
+    got = one(spark, cards.spans(F.col("t"), "Q", 500), t=text)
+    assert [s.text for s in got] == by_hand(text, 500) and [s.id for s in got] == [f"Q{i + 1:02d}" for i in range(len(got))]
