@@ -5,8 +5,6 @@ Steps in which a pick depends on earlier picks run as one fold over the at most
 """
 from __future__ import annotations
 
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,21 +55,22 @@ def admit(ranked: DataFrame, ratio: float = SCORE_RATIO, least: float = 0.0, lea
 
 def spread_files(ranked: DataFrame, after: int = 2) -> DataFrame:
     """ranked: query_id, item_id, rank, files (array). Beyond the first `after` picks, an item that shares a file with the picked ones
-    goes behind those that don't, in order. Adds position."""
-
-    def each(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("rank")
-        picked, late, seen = [], [], set()
-        for at, files in zip(frame.index, frame["files"]):
-            own = set(files if files is not None else ())
-            if len(picked) >= after and own & seen:
-                late.append(at)
-            else:
-                picked.append(at)
-                seen |= own
-        return frame.loc[picked + late].assign(position=range(1, len(frame) + 1))
-
-    return ranked.groupBy("query_id").applyInPandas(each, T.StructType([*ranked.schema.fields, T.StructField("position", T.IntegerType())]))
+    goes behind those that don't, in order; ties of rank go by item_id. Adds position."""
+    row = F.struct("rank", "item_id", F.struct(*ranked.columns).alias("row"))
+    before = lambda a, b: (a["rank"] < b["rank"]) | ((a["rank"] == b["rank"]) & (a["item_id"] < b["item_id"]))
+    rows = F.transform(F.array_sort("rows", lambda a, b: F.when(before(a, b), -1).when(before(b, a), 1).otherwise(0)), lambda r: r["row"])
+    kind = f"array<{T.StructType([T.StructField(f.name, f.dataType) for f in ranked.schema.fields]).simpleString()}>"
+    none, no_files = F.array().cast(kind), F.array().cast("array<string>")
+
+    def step(state: Column, r: Column) -> Column:
+        files = F.coalesce(r["files"], no_files)
+        waits = (F.size(state["picked"]) >= after) & F.coalesce(F.arrays_overlap(files, state["seen"]), F.lit(False))
+        late = F.struct(state["picked"].alias("picked"), F.concat(state["late"], F.array(r)).alias("late"), state["seen"].alias("seen"))
+        return F.when(waits, late).otherwise(F.struct(F.concat(state["picked"], F.array(r)).alias("picked"), state["late"].alias("late"), F.array_union(state["seen"], files).alias("seen")))
+
+    start = F.struct(none.alias("picked"), none.alias("late"), no_files.alias("seen"))
+    order = ranked.groupBy("query_id").agg(F.collect_list(row).alias("rows")).select(F.aggregate(rows, start, step, lambda s: F.concat(s["picked"], s["late"])).alias("rows"))
+    return order.select(F.posexplode("rows").alias("at", "row")).select("row.*", (F.col("at") + 1).cast("int").alias("position"))
 
 
 def within_budget(ranked: DataFrame, cap: int = TOKEN_CAP) -> DataFrame:

@@ -139,3 +139,18 @@ def test_requests_are_taken_once(spark, tmp_path):
     stream = spark.readStream.schema("user_id string, request_id string, received_at timestamp").json(str(source))
     run_stream(sessions.taken_once(stream).writeStream.format("memory").queryName("taken").option("checkpointLocation", str(tmp_path / "c")).start())
     assert sorted(r.request_id for r in spark.sql("SELECT * FROM taken").collect()) == ["r", "r2"]
+
+
+def test_files_are_spread_as_by_hand(spark):
+    rows = [(q, 100 * q + (7 * r) % 13, r // 2, [f"f{(q * r * 5 + k) % 6}" for k in range(r % 3)] if r % 5 else None) for q in range(4) for r in range(13)]
+    got = {(r.query_id, r.item_id): r.position for r in selection.spread_files(spark.createDataFrame(rows, "query_id int, item_id int, rank int, files array<string>")).collect()}
+    for q in range(4):
+        picked, late, seen = [], [], set()
+        for _, item, _, files in sorted((r for r in rows if r[0] == q), key=lambda r: (r[2], r[1])):
+            own = set(files or ())
+            if len(picked) >= 2 and own & seen:
+                late.append(item)
+            else:
+                picked.append(item)
+                seen |= own
+        assert [got[q, item] for item in picked + late] == list(range(1, 14))
