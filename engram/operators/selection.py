@@ -100,8 +100,10 @@ def judged(ranked: DataFrame, verdicts: DataFrame, scale: float = JUDGE_SCALE) -
 def reranked(ranked: DataFrame, scores: DataFrame, alpha: float = RERANK_ALPHA, candidates: int = RERANK_CANDIDATES) -> DataFrame:
     """ranked: query_id, item_id, rank; scores: query_id, item_id, rerank. The first candidates mix their clamped score with
     a prior that falls with rank; the others get the least of those less 0.001. A query without a score for each of its
-    candidates, or with a single item, keeps its ranks' order (score null)."""
+    candidates, or with a single item, keeps its ranks' order (score null); an item that is scored twice counts as without a
+    score. The prior takes ranks for positions: rows whose ranks have gaps or repeat are to be numbered first."""
     of = Window.partitionBy("query_id")
+    scores = scores.groupBy("query_id", "item_id").agg(F.when(F.count("*") == 1, F.max("rerank")).alias("rerank"))
     rows = ranked.join(scores, ["query_id", "item_id"], "left").withColumn("_in", F.col("rank") <= candidates)
     rows = rows.withColumn("_n", F.sum(F.col("_in").cast("int")).over(of)).withColumn("_ok", (F.count("*").over(of) >= 2) & (F.sum((F.col("_in") & F.col("rerank").isNull()).cast("int")).over(of) == 0))
     prior = (F.col("_n") - F.col("rank") + 1) / F.col("_n")

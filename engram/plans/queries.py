@@ -315,13 +315,25 @@ def judge_fuse(spark, sf):
 k AS (SELECT *, CASE WHEN rank <= 4 THEN 0.3 * greatest(0.0, least(1.0, rr)) + 0.7 * (m - rank + 1) / m END AS s FROM l WHERE query_id IN (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING count(*) = count(DISTINCT l_partkey) AND max(l_linenumber) = count(*)))
 SELECT query_id, item_id, round(CASE WHEN n < 2 THEN NULL ELSE coalesce(s, min(s) OVER (PARTITION BY query_id) - 0.001) END, 6) AS score FROM k""")
 def rerank_fuse(spark, sf):
-    """[R12, W3, S22]"""
+    """[R12, W3, S22] Only orders whose last line number is their count of lines and that hold no part twice; rerank_fuse_whole takes every order."""
     l = table(spark, sf, "lineitem")
     whole = l.groupBy("l_orderkey").agg(F.count("*").alias("n"), F.countDistinct("l_partkey").alias("d"), F.max("l_linenumber").alias("m")).where("n = d AND m = n").select("l_orderkey")
     l = l.join(whole, "l_orderkey", "left_semi").select(F.col("l_orderkey").alias("query_id"), F.col("l_partkey").alias("item_id"), F.col("l_linenumber").alias("rank"), (F.col("l_tax") * 20).alias("rerank"))
     return selection.reranked(l.drop("rerank"), l.select("query_id", "item_id", "rerank"), candidates=4).select("query_id", "item_id", F.round("score", 6).alias("score"))
 
 
+@query("""WITH l AS (SELECT l_orderkey AS query_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice) AS rank, l_partkey, l_tax * 20 AS rr,
+  count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem),
+k AS (SELECT *, CASE WHEN rank <= 4 THEN 0.3 * greatest(0.0, least(1.0, rr)) + 0.7 * (least(n, 4) - rank + 1) / least(n, 4) END AS s FROM l)
+SELECT query_id, l_partkey || '-' || rank AS item_id, round(CASE WHEN n < 2 THEN NULL ELSE coalesce(s, min(s) OVER (PARTITION BY query_id) - 0.001) END, 6) AS score FROM k""")
+def rerank_fuse_whole(spark, sf):
+    """[R12, W3, S22] Every order: its lines are numbered, since line numbers have gaps and parts repeat."""
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_extendedprice"))
+    l = table(spark, sf, "lineitem").withColumn("rank", place)
+    l = l.select(F.col("l_orderkey").alias("query_id"), F.concat_ws("-", F.col("l_partkey").cast("string"), F.col("rank").cast("string")).alias("item_id"), "rank", (F.col("l_tax") * 20).alias("rerank"))
+    return selection.reranked(l.drop("rerank"), l.select("query_id", "item_id", "rerank"), candidates=4).select("query_id", "item_id", F.round("score", 6).alias("score"))
+
+
 @query("""WITH v AS (SELECT d.source AS query_id, d.doc_id AS item_id, CASE WHEN l.toxic = 1 THEN 2 WHEN l.quality = 1 THEN 0 ELSE 1 END AS g FROM documents d LEFT JOIN labels l USING (doc_id))
 SELECT query_id, item_id, (row_number() OVER (PARTITION BY query_id ORDER BY g, item_id))::INTEGER AS position FROM v""")
 def transfer_grouping(spark, sf):

@@ -80,6 +80,13 @@ def test_rerank_needs_every_score(spark):
     assert {r.score for r in selection.reranked(rows, scores(("a", 0.0)), candidates=2).collect()} == {None}
 
 
+def test_rerank_takes_an_item_scored_twice_for_unscored(spark):
+    rows = spark.createDataFrame([("q", "a", 1), ("q", "b", 2), ("r", "a", 1), ("r", "b", 2)], "query_id string, item_id string, rank int")
+    scores = spark.createDataFrame([("q", "a", 0.0), ("q", "b", 1.0), ("r", "a", 0.5), ("r", "b", 0.1), ("r", "b", 0.2)], "query_id string, item_id string, rerank double")
+    got = [(r.query_id, r.item_id, r.score) for r in selection.reranked(rows, scores).orderBy("query_id", "item_id").collect()]
+    assert got == [("q", "a", pytest.approx(0.7)), ("q", "b", pytest.approx(0.65)), ("r", "a", None), ("r", "b", None)]
+
+
 @pytest.mark.parametrize("elapsed,mode", [([], "full"), ([39], "lex_only"), ([1] * 7 + [45] * 3, "extract_lite"), ([10, 38, 10, 38], "lex_only"), ([38, 0.5] * 8, None)])
 def test_guard(elapsed, mode):
     guard, seen = health.Guard(40.0), []

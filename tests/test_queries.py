@@ -50,3 +50,8 @@ def test_entry_without_the_corpus_operators(spark, sf):
 
     assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
     assert entry.entry(spark).count() > 0
+
+
+def test_rerank_takes_every_line(spark, sf):
+    rows = QUERIES["rerank_fuse_whole"](spark, sf)
+    assert rows.count() == spark.read.parquet(f"{sf}/lineitem.parquet").count() > QUERIES["rerank_fuse"](spark, sf).count()
