@@ -55,13 +55,16 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (the fingerprint's 64 bits as a signed long) of every row."""
-
+def _with_fingerprint(rows: DataFrame, name: str, shingle: int, without: tuple[str, ...] = ()) -> DataFrame:
     def start():
         return lambda texts: (np.fromiter((fingerprint(t, shingle) for t in texts), dtype=np.uint64, count=len(texts)).view(np.int64),)
 
-    return with_computed(docs.select("doc_id", "text"), ("text",), start, {"fp": "long"}, without=("text",))
+    return with_computed(rows, ("text",), start, {name: "long"}, without)
+
+
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, fp (the fingerprint's 64 bits as a signed long) of every row."""
+    return _with_fingerprint(docs.select("doc_id", "text"), "fp", shingle, without=("text",))
 
 
 def _forest(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -165,24 +168,35 @@ def components(links: DataFrame) -> DataFrame:
     return labels
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, list_limit: int = LIST_LIMIT) -> DataFrame:
-    """docs: doc_id, text. Returns doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable)."""
+def placed(docs: DataFrame, shingle: int = SHINGLE, list_limit: int = LIST_LIMIT) -> DataFrame:
+    """doc_id, fp, label (tells the components apart), component_id (the smallest doc_id reachable) of every row."""
     prints = kept(fingerprints(docs, shingle))
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     labels = components(candidate_links(distinct.select("fp"), list_limit))
     linked = distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
     least = linked.groupBy("label").agg(F.min("first").alias("component_id"))
-    place = linked.join(least, "label").select("fp", "component_id")
-    return prints.join(place, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    place = linked.join(least, "label").select("fp", "label", "component_id")
+    return prints.join(place, "fp").select("doc_id", "fp", "label", "component_id")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, list_limit: int = LIST_LIMIT) -> DataFrame:
+    """docs: doc_id, text. Returns doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable)."""
+    return placed(docs, shingle, list_limit).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """docs without the near copies: of each component the row with the smallest id stays. Rows without an id all stay;
-    of rows repeated under one id one stays. The ids that go are joined to the texts, so texts move once at most."""
-    found = kept(near_duplicates(docs, shingle).select(F.col("doc_id").alias("m_id"), "component_id").where("m_id IS NOT NULL"))
+    """docs without the near copies: of each component the row with the smallest id stays (of several texts under that id the
+    one with the smallest fingerprint). Rows without an id all stay. The ids that go are joined to the texts, so texts move once
+    at most; only rows whose id occurs again are told apart by id and fingerprint, which is taken from their texts once more."""
+    found = kept(placed(docs, shingle).select(F.col("doc_id").alias("m_id"), F.col("fp").alias("m_fp"), "label", "component_id").where("m_id IS NOT NULL"))
     gone = found.where("m_id != component_id").select("m_id")
-    again = found.where("m_id = component_id").groupBy("m_id").count().where("count > 1").select("m_id")
-    repeated = again.limit(1).count() > 0
+    again = kept(found.groupBy("m_id").count().where("count > 1").select("m_id"))
     match = F.col("doc_id") == F.col("m_id")
-    out = docs.join(broadcast_if_small(kept(gone.unionByName(again) if repeated else gone)), match, "left_anti")
-    return out.unionByName(docs.join(broadcast_if_small(kept(again)), match, "left_semi").dropDuplicates(["doc_id"])) if repeated else out
+    if not again.limit(1).count():
+        return docs.join(broadcast_if_small(kept(gone)), match, "left_anti")
+    out = docs.join(broadcast_if_small(kept(gone.unionByName(again).distinct())), match, "left_anti")
+    again = broadcast_if_small(again)
+    stay = found.join(again, "m_id", "left_semi").where("m_id = component_id").groupBy("label", "m_id").agg(F.min("m_fp").alias("m_fp")).select("m_id", "m_fp")
+    rows = _with_fingerprint(docs.join(again, match, "left_semi"), "m_own", shingle)
+    rows = rows.join(broadcast_if_small(kept(stay)), match & (F.col("m_own") == F.col("m_fp")), "left_semi").dropDuplicates(["doc_id", "m_own"])
+    return out.unionByName(rows.drop("m_own"))

@@ -328,6 +328,16 @@ def test_simhash_dedup(docs, none, rows):
     assert kept.columns == docs.columns and sorted(i for i in ids if i is not None) == sorted({c for _, c in zip(prints, components(prints)) if c is not None} & {i for i, _ in prints}) and ids.count(None) == 2
 
 
+def test_keep_one_tells_texts_under_one_id_apart(spark):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(400)]
+    a, b, c = " ".join(texts[:120]), " ".join(texts[120:240]), " ".join(texts[240:])
+    docs = spark.createDataFrame([(5, a), (7, a), (5, b), (3, b), (9, c), (9, c)], "doc_id long, text string")
+    assert sorted(map(tuple, simhash_dedup.keep_one(docs).collect())) == sorted([(5, a), (3, b), (9, c)])
+    docs = spark.createDataFrame([(5, a), (7, a), (5, b), (8, b), (5, b), (None, a)], "doc_id long, text string")
+    assert sorted(map(str, map(tuple, simhash_dedup.keep_one(docs).collect()))) == sorted(map(str, [(5, a), (5, b), (None, a)]))
+
+
 def test_simhash_chains_and_large_lists(spark):
     rng = random.Random(8)
     fps, at = [], rng.getrandbits(64)
