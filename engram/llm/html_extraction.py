@@ -40,6 +40,10 @@ CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 #: Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg math select option button object audio video canvas".split())
+#: Of RAW, those that go on to the end of the page without an end tag, as in browsers.
+TO_END = frozenset("script style textarea title noscript template iframe".split())
+#: What ends the skip of a RAW element; an option's end tag is optional, a button ends where another begins. Searched in the page itself, since lower case can be longer.
+RAW_END = {t: re.compile({"option": r"<[a-zA-Z/!?]", "button": r"<(?:(/)|)button"}.get(t, "<(/)" + t), re.I | re.A) for t in RAW}
 BLOCK = frozenset("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4
     h5 h6 header hgroup html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul""".split())
 CLOSES_P = BLOCK - frozenset("dd dt li td th tr tbody thead tfoot caption legend summary body html".split()) | {"hr"}
@@ -83,7 +87,7 @@ class Page:
 
     def _read(self, source: str) -> None:
         stack, at, links, n = [(0, "#root")], 0, 0, len(source)
-        lowered = None
+        unended: set[str] = set()
         while at < n:
             m = TOKEN.match(source, at)
             if m is None:  # an unfinished quote in a tag: the rest of the tag goes
@@ -117,9 +121,15 @@ class Page:
             if tag in RAW:
                 if attributes.endswith("/") and tag != "script":
                     continue
-                lowered = lowered or source.lower()
-                stop = lowered.find("</" + tag, at)
-                at = n if stop < 0 else (source.find(">", stop) + 1 or n)
+                end = None if tag in unended else RAW_END[tag].search(source, at)
+                if tag == "option":
+                    at = end.start() if end else n
+                elif end and end[1]:
+                    at = source.find(">", end.start()) + 1 or n
+                elif tag in TO_END:
+                    at = n
+                elif not end:
+                    unended.add(tag)  # only the tag goes
                 continue
             if tag == "br" or tag == "hr" or tag in VOID:
                 if tag == "hr" and self.runs[-1]:

@@ -91,6 +91,13 @@ def test_html_extraction(spark):
     assert html_extraction.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize("before", ["<datalist><option value=a>x<option value=b>y</datalist>", "<button>x</button><video src=a>", "\u0130" * 12 + "<script>x</script>"])
+def test_html_skips_end_with_their_element(before):
+    read = lambda source: "".join(text for run in html_extraction.Page(source).runs for _, text in run)
+    assert read(f"<div>{before}<p>one > two</p><select><option>z</select></div>").replace("\u0130", "") == "one > two"
+    assert read("<button>x<p>one</p><button>y</button>two") == "xonetwo"
+
+
 def test_html_marginals_by_enumeration():
     page = html_extraction.Page('<div class="x"><p>one two</p><ul><li>three</li></ul></div>')
     model = html_extraction.default_potentials()
