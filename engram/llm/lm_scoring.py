@@ -44,9 +44,9 @@ MU = (0.0, 500.0, 8.0)
 BLOCK_BYTES = 8 << 20
 #: n-grams of all blocks that meet in a range, about.
 RANGE_ENTRIES = 5_000_000
-#: An n-gram's hash beyond single tokens has this many bits more than the number of n-grams takes: two given n-grams of a
-#: corpus of any size share one with the same small probability. Single tokens keep 64, so that their counts are exact.
-SPARE_BITS = 18
+#: Bits of an n-gram's hash beyond single tokens, at every corpus size: an n-gram shares its hash with another of 2**30 with
+#: chance 2**-26, of 2**45 with chance 2**-11. Single tokens keep 64.
+HASH_BITS = 56
 PIECE = 512
 MIX = np.uint64(0x9E3779B97F4A7C15)
 MIX2 = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -73,10 +73,6 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def hash_bits(entries: int) -> int:
-    return min(62, max(1, entries).bit_length() + SPARE_BITS)
-
-
 def sort_order(keys: np.ndarray, bits: int) -> np.ndarray:
     """The order that sorts keys of so many bits. Key and index are sorted as one number; where both don't fit, the key's
     lowest bits stay out and runs that differ in those alone are put right afterwards."""
@@ -385,8 +381,7 @@ def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES, range_entries: int =
     """docs: doc_id (an integer), text. Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
     packed = kept(pack(docs, block_bytes))
     tokens = packed.agg(F.sum("n_tokens")).first()[0] or 0
-    entries = int(tokens) * ORDER
-    ranges, bits = max(1, -(-entries // range_entries)), hash_bits(entries)
+    ranges, bits = max(1, -(-int(tokens) * ORDER // range_entries)), HASH_BITS
     totals = kept(packed.mapInPandas(_send(ranges, bits), COUNTS).groupBy("range", "n").applyInPandas(_total, TOTALS))
     release(docs.sparkSession)  # the counts that were sent
     stats = totals.where("n = 1").agg(F.sum("total"), F.sum("seen")).first()
