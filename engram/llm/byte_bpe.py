@@ -102,9 +102,9 @@ def coder(path: str, pattern: str) -> ByteBpe:
     return ByteBpe(load_ranks(path), pattern)
 
 
-def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None, with_ids: bool = False) -> DataFrame:
-    """docs: doc_id, text. Returns doc_id, n_tokens, ids_sha256, decoded_sha256, and with_ids also ids (array<int>) and
-    decoded (binary)."""
+def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None, with_ids: bool = False, with_decoded: bool = False) -> DataFrame:
+    """docs: doc_id, text. Returns doc_id, n_tokens, ids_sha256, decoded_sha256; with_ids also ids (array<int>), with_decoded
+    also decoded (binary)."""
     path, pattern = path or tokenizer_path(VOCABULARY), pattern or _public_pattern()
 
     def start():
@@ -120,13 +120,14 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
                 raw_hashes.append(hashlib.sha256(raw).hexdigest())
                 if with_ids:
                     all_ids.append(ids.astype(np.int32))
+                if with_decoded:
                     all_raw.append(raw)
-            return (counts, id_hashes, raw_hashes, all_ids, all_raw) if with_ids else (counts, id_hashes, raw_hashes)
+            return (counts, id_hashes, raw_hashes, *([all_ids] * with_ids), *([all_raw] * with_decoded))
 
         return compute
 
-    new = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"} | ({"ids": "array<int>", "decoded": "binary"} if with_ids else {})
-    return with_computed(docs.select("doc_id", "text"), ("text",), start, new).drop("text")
+    new = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"} | ({"ids": "array<int>"} if with_ids else {}) | ({"decoded": "binary"} if with_decoded else {})
+    return with_computed(docs.select("doc_id", "text"), ("text",), start, new, without=("text",))
 
 
 def _public_pattern() -> str:

@@ -37,13 +37,24 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-#: Rows of a few numbers or short strings each: some 20 MB as a hashed relation.
+#: Some 20 MB as a hashed relation.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 16 << 20
 
 
-def broadcast_if_small(narrow: DataFrame, most_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """narrow (a kept table of short rows), to be broadcast if its rows are counted and few; else as it is, for a shuffle join."""
-    return F.broadcast(narrow) if narrow.limit(most_rows + 1).count() <= most_rows else narrow
+def broadcast_if_small(narrow: DataFrame, most_rows: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """narrow (a kept table), to be broadcast if its rows are counted and few, and their values as text are measured and short; else
+    as it is, for a shuffle join."""
+    size = F.sum(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in narrow.columns]))))
+    rows, length = narrow.limit(most_rows + 1).agg(F.count("*"), size).first()
+    return F.broadcast(narrow) if rows <= most_rows and (length or 0) <= most_bytes else narrow
+
+
+def aside(docs: DataFrame, used: tuple[str, ...]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with all columns but the used ones under names that clash with nothing, and a function that selects the columns of docs
+    from a table with those and gives them their names back."""
+    names = [c if c in used else f"c{i}" for i, c in enumerate(docs.columns)]
+    return docs.toDF(*names), lambda rows: rows.select(*names).toDF(*docs.columns)
 
 
 def release(spark: SparkSession) -> None:

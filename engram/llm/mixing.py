@@ -11,7 +11,7 @@ are sorted. So a source with a third of all rows costs its window about a 1/KEY_
 
 Nulls and edges: a null text has size 0; a null source is a source of its own, last in order; a null id draws like the
 empty text; sources whose documents are all empty have target 0; repeated rows count each time, and equal rows on the edge
-share what it gives; an empty table gives an empty result. Other columns are ignored, whatever their names.
+share what it gives; ties in the key go by id, then size; very long texts only count words; an empty table gives an empty result. Other columns are ignored, whatever their names.
 """
 from __future__ import annotations
 
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import broadcast_if_small, kept, word_count
+from .common import aside, broadcast_if_small, kept, word_count
 
 KEY_BUCKETS = 8192
 #: Weights of the sources in code point order, repeated.
@@ -111,11 +111,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """The mix itself: rows of docs, each as many times as its taken words hold it (the part on the edge counts from one
     half on). Texts are not shuffled: the plan is one row per source, broadcast unless there are very many sources."""
+    docs, restored = aside(docs, ("doc_id", "text", "source"))
     rows = kept(_keyed(docs.select("doc_id", "text", "source")).select("doc_id", "m_source", "m_size", "m_key"))
     placed = _keyed(docs).join(broadcast_if_small(_plan(rows, weights, max_epochs)), F.col("m_source").eqNullSafe(F.col("p_source")))
     copies = F.when(F.col("m_size") > 0, F.round(_taken() / F.col("m_size"))).otherwise(F.lit(0)).cast("int")
     placed = placed.withColumn("m_copies", copies).where("m_copies > 0")
-    return placed.withColumn("m_copy", F.explode(F.sequence(F.lit(1), "m_copies"))).select(*docs.columns)
+    return restored(placed.withColumn("m_copy", F.explode(F.sequence(F.lit(1), "m_copies"))))
 
 
 ORACLE_SQL = f"""

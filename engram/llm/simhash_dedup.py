@@ -13,9 +13,9 @@ Components come from rounds of contraction to a random neighbour over the links,
 checkpoint folder; nothing but counts reaches the driver.
 
 Nulls and edges: a null text has no words; texts without words have fingerprint zero and link like others; texts with
-fewer words than a shingle are one shingle; a null id has its component like others but is never the smallest id (the
+fewer words than a shingle are one shingle; very long texts are read whole, their hashes in steps; a null id has its component like others but is never the smallest id (the
 component of null ids only has a null id); repeated rows give one row each; an empty table gives an empty result; other
-columns are ignored.
+columns are ignored or, in keep_one, kept as they are, whatever their names.
 """
 from __future__ import annotations
 
@@ -26,13 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, kept, trim, with_computed
+from .common import aside, broadcast_if_small, kept, trim, with_computed
 
 SHINGLE = 3
 SEED = 42
 MAX_BITS = 3
 LEAST_SHARED = 8 - MAX_BITS
 LIST_LIMIT = 2048
+HOT = 1000
 #: The three-byte parts of each half.
 PARTS = tuple(tuple(b for b in range(half, half + 4) if b != out) for half in (0, 4) for out in range(half, half + 4))
 
@@ -171,12 +172,18 @@ def components(links: DataFrame) -> DataFrame:
 def placed(docs: DataFrame, shingle: int = SHINGLE, list_limit: int = LIST_LIMIT) -> DataFrame:
     """doc_id, fp, label (tells the components apart), component_id (the smallest doc_id reachable) of every row."""
     prints = kept(fingerprints(docs, shingle))
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    distinct = kept(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")))
     labels = components(candidate_links(distinct.select("fp"), list_limit))
-    linked = distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
+    linked = distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", "rows", F.coalesce("label", "fp").alias("label"))
     least = linked.groupBy("label").agg(F.min("first").alias("component_id"))
-    place = linked.join(least, "label").select("fp", "label", "component_id")
-    return prints.join(place, "fp").select("doc_id", "fp", "label", "component_id")
+    place = kept(linked.join(least, "label").select("fp", "rows", "label", "component_id"))
+    # Fingerprints of more than a HOT-th of all rows are less than HOT in number: they are broadcast, so that a group of copies of
+    # any size isn't shuffled to one task.
+    often = F.col("rows") * HOT > prints.count()
+    columns = ("doc_id", "fp", "label", "component_id")
+    hot = F.broadcast(place.where(often))
+    rest = prints.join(hot.select("fp"), "fp", "left_anti").join(place.where(~often), "fp")
+    return prints.join(hot, "fp").select(*columns).unionByName(rest.select(*columns))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, list_limit: int = LIST_LIMIT) -> DataFrame:
@@ -188,15 +195,16 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """docs without the near copies: of each component the row with the smallest id stays (of several texts under that id the
     one with the smallest fingerprint). Rows without an id all stay. The ids that go are joined to the texts, so texts move once
     at most; only rows whose id occurs again are told apart by id and fingerprint, which is taken from their texts once more."""
+    docs, restored = aside(docs, ("doc_id", "text"))
     found = kept(placed(docs, shingle).select(F.col("doc_id").alias("m_id"), F.col("fp").alias("m_fp"), "label", "component_id").where("m_id IS NOT NULL"))
     gone = found.where("m_id != component_id").select("m_id")
     again = kept(found.groupBy("m_id").count().where("count > 1").select("m_id"))
     match = F.col("doc_id") == F.col("m_id")
     if not again.limit(1).count():
-        return docs.join(broadcast_if_small(kept(gone)), match, "left_anti")
+        return restored(docs.join(broadcast_if_small(kept(gone)), match, "left_anti"))
     out = docs.join(broadcast_if_small(kept(gone.unionByName(again).distinct())), match, "left_anti")
     again = broadcast_if_small(again)
     stay = found.join(again, "m_id", "left_semi").where("m_id = component_id").groupBy("label", "m_id").agg(F.min("m_fp").alias("m_fp")).select("m_id", "m_fp")
     rows = _with_fingerprint(docs.join(again, match, "left_semi"), "m_own", shingle)
     rows = rows.join(broadcast_if_small(kept(stay)), match & (F.col("m_own") == F.col("m_fp")), "left_semi").dropDuplicates(["doc_id", "m_own"])
-    return out.unionByName(rows.drop("m_own"))
+    return restored(out.unionByName(rows.drop("m_own")))

@@ -10,13 +10,14 @@ A text gives three length-normalised figures: its mean ratio per word, the highe
 words, and the highest of a single word. A logistic regression, fitted on labelled rows held out from the counts, turns
 them into a score; TAU is where a text is called toxic.
 
-Sample: labelled rows outside the held-out fold (crc32 of the id modulo 3), at most SAMPLE_ROWS per class taken by the
-order of a hash of the id, whole texts; the models and what reaches the driver are bounded by this. Every row is scored.
-Label, language, source and id are no inputs of a score.
+Sample: labelled ids outside the held-out fold (crc32 of the id modulo 3), at most SAMPLE_ROWS per class taken by the
+order of a hash of the id, whole texts (one of each id); the models and what reaches the driver are bounded by this. Every
+row is scored. Label, language, source and id are no inputs of a score.
 
 Nulls and edges: a null text scores like an empty one; without labelled rows of both classes every score is 0; a null
-label is no label; labels repeated for an id count once, toxic if any is; repeated rows score alike; an empty table
-gives an empty result; other columns are ignored.
+label is no label; labels repeated for an id count once, toxic if any is; of several texts under a sampled id the least
+trains; ties in the sample's order go to the smaller id; very long texts are scored whole, by their worst window too;
+repeated rows score alike; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 from __future__ import annotations
 
@@ -29,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_column, fold_of, with_computed
+from .common import aside, fold_column, fold_of, with_computed
 
 ORDER = 6
 #: Discount of the class counts (more than 1: a single document is no evidence), and of the shared lower orders.
@@ -166,6 +167,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     parts = [marked.where(F.col("m_toxic") == c).orderBy("m_order", "m_id").limit(sample_rows) for c in (0, 1)]
     sample = F.broadcast(parts[0].unionByName(parts[1]))  # at most 2 * sample_rows rows of three numbers
     texts = docs.select("doc_id", "text").join(sample, F.col("doc_id") == F.col("m_id"))
+    texts = texts.groupBy("doc_id", "m_toxic", "m_order").agg(F.min("text").alias("text"))  # an id's rows may be any number
+    texts = texts.orderBy("m_order", "doc_id")
     counts: tuple[Counter, Counter] = (Counter(), Counter())
     fitting: list[tuple[str, int]] = []
     different: set[bytes] = set()
@@ -217,4 +220,5 @@ def with_scores(rows: DataFrame, docs: DataFrame, labels: DataFrame, sample_rows
 
 def without_toxic(docs: DataFrame, labels: DataFrame, tau: float = TAU) -> DataFrame:
     """docs without the rows that score tau or more."""
-    return with_scores(docs, docs, labels).where(F.col("m_score") < tau).select(*docs.columns)
+    rows, restored = aside(docs, ("doc_id", "text"))
+    return restored(with_scores(rows, rows, labels).where(F.col("m_score") < tau))

@@ -283,7 +283,7 @@ def test_byte_bpe(docs, none, rows):
 
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public.path("byte_bpe_50k.tiktoken"), "rb"))}
     reference = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    got = byte_bpe.encode(docs, with_ids=True).collect()
+    got = byte_bpe.encode(docs, with_ids=True, with_decoded=True).collect()
     by = {r.doc_id: r for r in got if r.doc_id is not None}
     assert len(got) == len(rows)
     for i, t, *_ in rows:
