@@ -1,12 +1,20 @@
 """Tokens, clean-up and identities of texts as native columns, beside the same as DuckDB SQL (functions sql_*).
 
 Indexing and querying share tokens(): identifiers and dotted numbers with their parts, CJK bigrams, path-like runs with
-their base names. Every function maps null to an empty array or string.
+their base names. Whole corpora go through term_counts(): one Arrow function that finds the words of a text once, takes
+apart each different word once in a worker (words repeat), and counts within the row, so that no token is shuffled to be
+counted. Every function maps null to an empty array or string.
 """
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The patterns that define a token, and the lists of words that are none.
 WORD = r"[A-Za-z_][A-Za-z0-9_]*|\p{Nd}+(?:\.\p{Nd}+)*"
@@ -74,6 +82,94 @@ def tokens(c: Column) -> Column:
     return F.concat(latin_tokens(c), cjk_bigrams(c), path_tokens(c))
 
 
+# The same over whole batches.
+_WORD, _CAMEL, _PATHISH, _MARK, _CJK = (re.compile(p) for p in (WORD.replace(r"\p{Nd}", r"\d"), CAMEL, PATHISH, PATH_MARK, CJK))
+_EDGES = "._-/\\"
+_REMEMBERED = 200_000
+_words: dict[str, tuple[str, ...]] = {}
+_paths: dict[str, tuple[str, ...]] = {}
+
+
+def _of_word(word: str) -> tuple[str, ...]:
+    """The tokens of an identifier or number: itself, and its parts where it has some."""
+    low = word.lower()
+    whole = (low,) if len(word) <= LONGEST else ()
+    if "_" not in word and (word in (low, word.upper()) or word[1:].islower()):
+        return whole
+    parts = (p.lower() for run in word.split("_") for p in _CAMEL.findall(run))
+    return whole + tuple(p for p in parts if 2 <= len(p) <= LONGEST and p != low)
+
+
+def _of_path(run: str) -> tuple[str, ...]:
+    """The tokens of a run with the marks of a path: itself, and its base name; none of other runs."""
+    low = run.lower().strip(_EDGES)
+    if not low or not _MARK.search(run):
+        return ()
+    base = re.split(r"[/\\]", low)[-1]
+    return tuple(dict.fromkeys(t for t in (low, base) if 2 <= len(t) <= LONGEST))
+
+
+def _remembered(known: dict[str, tuple[str, ...]], of: Callable[[str], tuple[str, ...]], run: str) -> tuple[str, ...]:
+    got = known.get(run)
+    if got is None:
+        if len(known) >= _REMEMBERED:
+            known.clear()
+        got = of(run)
+        if len(run) <= LONGEST:
+            known[run] = got
+    return got
+
+
+def counted(text: str | None, latin_only: bool = False) -> Counter[str]:
+    """How often each token of a text occurs."""
+    out: Counter[str] = Counter()
+    for word, n in Counter(_WORD.findall(text or "")).items():
+        if len(word) <= LONGEST and word.islower() and "_" not in word:  # most words by far
+            out[word] += n
+        else:
+            for token in _remembered(_words, _of_word, word):
+                out[token] += n
+    if not latin_only:
+        for run in _CJK.findall(text or ""):
+            out.update([run] if len(run) == 1 else [run[i : i + 2] for i in range(len(run) - 1)])
+        for run, n in Counter(r for r in _PATHISH.findall(text or "") if "." in r or "/" in r or "\\" in r).items():
+            for token in _remembered(_paths, _of_path, run):
+                out[token] += n
+    return out
+
+
+_PAIR = T.StructType([T.StructField("term", T.StringType()), T.StructField("tf", T.IntegerType())])
+_COUNTS = T.StructType([T.StructField("n", T.IntegerType()), T.StructField("terms", T.ArrayType(_PAIR))])
+
+
+def _counts_of(texts: pa.Array, latin_only: bool) -> pa.Array:
+    starts, totals, terms, tfs = [0], [], [], []
+    for text in texts.to_pylist():
+        found = counted(text, latin_only)
+        terms.extend(found)
+        tfs.extend(found.values())
+        totals.append(found.total())
+        starts.append(len(terms))
+    pairs = pa.StructArray.from_arrays([pa.array(terms, pa.string()), pa.array(tfs, pa.int32())], names=["term", "tf"])
+    return pa.StructArray.from_arrays([pa.array(totals, pa.int32()), pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pairs)], names=["n", "terms"])
+
+
+@F.arrow_udf(_COUNTS)
+def _all_counts(texts: pa.Array) -> pa.Array:
+    return _counts_of(texts, False)
+
+
+@F.arrow_udf(_COUNTS)
+def _latin_counts(texts: pa.Array) -> pa.Array:
+    return _counts_of(texts, True)
+
+
+def term_counts(c: Column, latin_only: bool = False) -> Column:
+    """struct(n, terms): how many tokens a text has, and its different ones (term, tf), in no given order."""
+    # Called nondeterministic so that the optimizer doesn't run it twice (once more to drop rows that an explode finds empty).
+    return (_latin_counts if latin_only else _all_counts).asNondeterministic()(c)
+
+
 def content_tokens(toks: Column) -> Column:
     """Distinct tokens of two characters or more that are no stop words, in order of first occurrence."""
     return F.array_distinct(F.filter(toks, lambda t: (F.length(t) >= 2) & ~t.isin(STOPWORDS)))

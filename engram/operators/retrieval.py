@@ -1,7 +1,7 @@
 """Recall channels over a table of queries, rank fusion and rank boosts.
 
-Every operator takes all queries of a job as one table. Query terms are the small side: they are broadcast where Spark
-knows them to be small, and rows of the index that match no query term go before anything is shuffled. Scores are rounded to 9 digits before a cut, so that
+Every operator takes all queries of a job as one table. Query terms are the small side: they are broadcast where they are
+measured to be small, and rows of the index that match no query term go before anything is shuffled. Scores are rounded to 9 digits before a cut, so that
 the order of float sums never decides a rank; ties go to the smaller id.
 """
 from __future__ import annotations
@@ -35,37 +35,77 @@ def top(scored: DataFrame, by: list[str], k: int, item: str = "item_id", score:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def bm25(docs: DataFrame, queries: DataFrame, weight: Column | None = None) -> DataFrame:
-    """docs: scope, item_id, field, tokens (array); queries: scope, query_id, field, term, weight, each term once per field.
-    Returns scope, query_id, item_id, score. An item's length counts tokens of all its fields; the number of items counts
-    those without tokens too, the mean length doesn't; a term's document frequency is that of its field."""
-    asked = queries.select("scope", "field", "term", F.lit(1).alias("hit")).distinct()
-    # One pass over the texts: postings of the asked terms, and a posting of the empty term that carries each face's length.
-    face = docs.select("scope", "item_id", "field", F.size("tokens").alias("n"), F.explode(F.concat("tokens", F.array(F.lit("")))).alias("term"))
-    face = face.join(asked, ["scope", "field", "term"], "left").where("hit = 1 OR term = ''")
-    postings = kept(face.groupBy("scope", "item_id", "field", "term").agg(F.count("*").alias("tf"), F.max("n").alias("n")))
-    per_item = postings.where("term = ''").groupBy("scope", "item_id").agg(F.sum("n").alias("dl"))
+#: Rows of short strings and numbers: some 20 MB as a hashed relation.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
+
+
+def small(rows: DataFrame) -> tuple[DataFrame, bool]:
+    """rows written down, and whether they are few and short enough to be broadcast (measured); if so they are marked for it."""
+    rows = kept(rows)
+    size = F.sum(F.octet_length(F.to_json(F.struct(*rows.columns))))
+    n, length = rows.limit(BROADCAST_ROWS + 1).agg(F.count("*"), size).first()
+    few = n <= BROADCAST_ROWS and (length or 0) <= BROADCAST_BYTES
+    return (F.broadcast(rows) if few else rows), few
+
+
+TERMS = "array<struct<term:string,tf:int>>"
+
+
+def index_face(docs: DataFrame) -> DataFrame:
+    """docs: scope, item_id, field, text. Adds n (tokens) and terms (term, tf) in place of text: what a term index holds."""
+    return docs.select("scope", "item_id", "field", X.term_counts(F.col("text")).alias("t")).select("scope", "item_id", "field", "t.n", "t.terms")
+
+
+def bm25(faces: DataFrame, queries: DataFrame) -> DataFrame:
+    """faces: scope, item_id, field, n, terms (index_face); queries: scope, query_id, field, term, weight, each term once per
+    field. Returns scope, query_id, item_id, score. An item's length counts tokens of all its fields; the number of items counts
+    those without tokens too, the mean length doesn't; a term's document frequency is that of its field.
+
+    Terms are counted within their row, so only postings of asked terms are ever shuffled. Where the asked terms are few, faces
+    are read once: each row adds a posting without a term that carries its length past the broadcast join."""
+    asked, few = small(queries.select("scope", "field", "term").distinct().withColumn("hit", F.lit(True)))
+    if few:
+        length = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.col("n").alias("tf")))
+        both = faces.select("scope", "item_id", "field", F.explode(F.concat("terms", length)).alias("t")).select("scope", "item_id", "field", "t.term", "t.tf")
+        both = kept(both.join(asked, ["scope", "field", "term"], "left").where("hit OR term IS NULL").drop("hit"))
+        lengths, tf = both.where("term IS NULL"), both.where("term IS NOT NULL")
+    else:
+        faces = kept(faces)
+        lengths = faces.select("scope", "item_id", F.col("n").alias("tf"))
+        tf = faces.select("scope", "item_id", "field", F.explode("terms").alias("t")).select("scope", "item_id", "field", "t.term", "t.tf")
+        tf = tf.join(asked, ["scope", "field", "term"], "left_semi")
+    per_item = lengths.groupBy("scope", "item_id").agg(F.sum("tf").alias("dl"))
     scopes = per_item.groupBy("scope").agg(F.count("*").alias("items"), F.avg(F.when(F.col("dl") > 0, F.col("dl"))).alias("avgdl"))
-    tf = postings.where("term != ''").drop("n")
     df = tf.groupBy("scope", "field", "term").agg(F.count("*").alias("df"))
     terms = df.join(scopes, "scope").withColumn("idf", F.log1p((F.col("items") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    weighed = queries.join(terms, ["scope", "field", "term"]).select("scope", "query_id", "field", "term", "weight", "idf", "avgdl")
+    weighed, _ = small(queries.join(terms, ["scope", "field", "term"]).select("scope", "query_id", "field", "term", "weight", "idf", "avgdl"))
     tf_norm = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.greatest("dl", F.lit(1)) / F.col("avgdl")))
     rows = tf.join(per_item, ["scope", "item_id"]).join(weighed, ["scope", "field", "term"])
     return rows.groupBy("scope", "query_id", "item_id").agg(F.sum(F.col("weight") * F.col("idf") * tf_norm).alias("score"))
 
 
-def query_terms(queries: DataFrame, fields: dict[str, float] | None = None) -> DataFrame:
-    """queries: scope, query_id, text, and optionally anchored (map of field to array of terms). One row per field and
-    term with the field's weight; a term counts once however often it occurs, and an anchored one weighs ANCHOR_BOOST at least."""
-    weights = fields or FIELD_WEIGHTS
-    faces = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.lit(w).alias("weight")) for f, w in weights.items()]))
-    terms = queries.select("scope", "query_id", F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("term"))
-    out = terms.select("scope", "query_id", "term", faces.alias("face")).select("scope", "query_id", "face.field", "term", "face.weight")
-    if "anchored" in queries.columns:
-        boosted = queries.select("scope", "query_id", F.explode("anchored").alias("field", "terms")).select(
-            "scope", "query_id", "field", F.explode("terms").alias("term"), F.lit(ANCHOR_BOOST).alias("weight"))
-        out = out.unionByName(boosted).groupBy("scope", "query_id", "field", "term").agg(F.max("weight").alias("weight"))
+#: The field of terms that cards without fields are indexed under.
+PLAIN = ""
+ANCHOR_FIELDS = {"error": "problem", "path": "locate", "symbol": "locate", "test_name": "test"}
+
+
+def query_terms(queries: DataFrame, fields: dict[str, float] | None = None, terms: str | None = None, boosted: str | None = None) -> DataFrame:
+    """queries: scope, query_id, and text, or the column `terms` (array) in its place; the column `boosted` holds a query's anchors
+    as (kind, value). One row per field and term with the field's weight: a term counts once however often it occurs. Terms also
+    ask the PLAIN field, at PLAIN_TERM_WEIGHT; those of an anchor weigh ANCHOR_BOOST times as much in their kind's field."""
+    weights = {**(fields or FIELD_WEIGHTS)}
+    if fields is None:
+        weights[PLAIN] = PLAIN_TERM_WEIGHT
+    faces = lambda w: F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.lit(v).alias("weight")) for f, v in w.items()])).alias("face")
+    own = F.array_distinct(F.col(terms) if terms else X.tokens(F.col("text")))
+    out = queries.select("scope", "query_id", F.explode(own).alias("term"))
+    out = out.select("scope", "query_id", "term", faces(weights)).select("scope", "query_id", "face.field", "term", "face.weight")
+    if boosted:
+        more = queries.select("scope", "query_id", F.explode(boosted).alias("a")).select("scope", "query_id", "a.kind", F.explode(X.tokens(F.col("a.value"))).alias("term"))
+        field = F.create_map(*[F.lit(x) for kv in ANCHOR_FIELDS.items() for x in kv])[F.col("kind")]
+        weight = F.create_map(*[F.lit(x) for f, w in weights.items() for x in (f, w * ANCHOR_BOOST)])[F.col("field")]
+        more = more.withColumn("field", field).where("field IS NOT NULL").withColumn("weight", weight).where("weight IS NOT NULL")
+        out = out.unionByName(more.select("scope", "query_id", "field", "term", "weight")).groupBy("scope", "query_id", "field", "term").agg(F.max("weight").alias("weight"))
     return out
 
 

@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from engram.functions import text as X
 from engram.operators import cards, chunking, evidence, extraction, health, ingest, rendering, retrieval, selection
 from engram.sources import models
-from engram.sources.tables import table
+from engram.sources.tables import dealt, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -36,6 +36,10 @@ def _messages(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").select((F.col("conv_id") % 8).alias("user_id"), F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"), "role", "text")
 
 
+def _documents(spark: SparkSession, sf: str) -> DataFrame:
+    return dealt(table(spark, sf, "documents"))
+
+
 def _events(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
@@ -46,7 +50,8 @@ def _events(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"SELECT doc_id, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, unnest({X.sql_latin('text')}) AS term FROM documents) GROUP BY doc_id, term")
 def term_frequency(spark, sf):
     """[F2, F29, A1]"""
-    return table(spark, sf, "documents").select("doc_id", F.explode(X.latin_tokens(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    counts = _documents(spark, sf).select("doc_id", X.term_counts(F.col("text"), latin_only=True).alias("t"))
+    return counts.select("doc_id", F.explode("t.terms").alias("t")).select("doc_id", "t.term", F.col("t.tf").cast("long").alias("tf"))
 
 
 @query(f"SELECT page_id, unnest({X.sql_paths('url')}) AS token FROM pages")
@@ -68,7 +73,8 @@ def cjk_bigrams(spark, sf):
 SELECT doc_id, dl, round(avg(dl) OVER (PARTITION BY lang), 6) AS avgdl, count(*) OVER (PARTITION BY lang) AS items FROM d""")
 def doc_length(spark, sf):
     """[A2, A3, A4]"""
-    d = table(spark, sf, "documents").select("doc_id", "lang", F.size(X.tokens(F.col("text"))).cast("long").alias("dl"))
+    d = _documents(spark, sf).select("doc_id", "lang", X.term_counts(F.col("text"))["n"].cast("long").alias("dl"))
+    d = retrieval.kept(d)
     of = d.groupBy("lang").agg(F.round(F.avg("dl"), 6).alias("avgdl"), F.count("*").alias("items"))
     return d.join(of, "lang").select("doc_id", "dl", "avgdl", "items")
 
@@ -120,7 +126,7 @@ def junk_entities(spark, sf):
 
 
 def _cards(spark, sf) -> DataFrame:
-    return table(spark, sf, "documents").select(F.lit("all").alias("scope"), F.col("doc_id").alias("item_id"), F.lit("problem").alias("field"), X.tokens(F.col("text")).alias("tokens"))
+    return retrieval.index_face(_documents(spark, sf).select(F.lit("all").alias("scope"), F.col("doc_id").alias("item_id"), F.lit("problem").alias("field"), "text"))
 
 
 def _asked(spark, sf) -> DataFrame:
@@ -446,7 +452,7 @@ def classify_lines(spark, sf):
 @query("SELECT doc_id, sha256(text) AS whole, length(text) AS n FROM documents WHERE length(text) > 0")
 def chunk_lossless(spark, sf):
     """[F6-F9, S5] The chunks of each document, put together again."""
-    m = table(spark, sf, "documents").select(F.lit("u").alias("user_id"), F.col("doc_id").alias("request_id"), F.lit(0).alias("message_index"), F.col("text").alias("content"))
+    m = _documents(spark, sf).select(F.lit("u").alias("user_id"), F.col("doc_id").alias("request_id"), F.lit(0).alias("message_index"), F.col("text").alias("content"))
     parts = F.array_sort(F.collect_list(F.struct("ord", "text")))
     whole = F.array_join(F.transform(parts, lambda p: p["text"]), "")
     return chunking.chunks(m).groupBy(F.col("request_id").alias("doc_id")).agg(F.sha2(whole.cast("binary"), 256).alias("whole"), F.max("char_end").cast("long").alias("n"))
@@ -456,7 +462,7 @@ def chunk_lossless(spark, sf):
 def entities(spark, sf):
     """[F10, F11, F12, D8, D10]"""
     e = extraction.capped(extraction.entities(F.col("text"), F.lit(True)))
-    return table(spark, sf, "documents").select("doc_id", F.explode(e).alias("e")).select("doc_id", "e.kind", "e.value")
+    return _documents(spark, sf).select("doc_id", F.explode_outer(e).alias("e")).where("e IS NOT NULL").select("doc_id", "e.kind", "e.value")
 
 
 _PATCH = "'diff --git a/src/' || lower(p_type[1:3]) || '_' || p_size || '.py b/src/' || lower(p_type[1:3]) || '_' || p_size || '.py' || chr(10) || '@@ -1 +1 @@' || chr(10) || '+def fn_' || p_size || '(x):' || chr(10) || '+class C' || p_size || ':'"

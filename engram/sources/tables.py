@@ -17,6 +17,24 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: Bytes of a task's share of an input, below which more tasks only cost.
+SHARE_BYTES = 1 << 20
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """rows read from files, dealt over the cores if the files are small: a file of one row group is one task, however many cores
+    there are. Larger inputs have row groups enough and stay as they are."""
+    context = rows.sparkSession.sparkContext
+    cores, path = context.defaultParallelism, context._jvm.org.apache.hadoop.fs.Path
+    files = rows.inputFiles()
+    if not files or len(files) >= cores:
+        return rows
+    hadoop = context._jsc.hadoopConfiguration()
+    size = sum(path(f).getFileSystem(hadoop).getFileStatus(path(f)).getLen() for f in files)
+    tasks = min(cores, size // SHARE_BYTES)
+    return rows.repartition(int(tasks)) if tasks > 1 and size < cores * SHARE_BYTES * 64 else rows
+
+
 def add_requests(spark: SparkSession, path: str) -> DataFrame:
     """JSON lines of Add requests; malformed lines give rows of nulls, which validation rejects."""
     return spark.read.schema(ADD_REQUEST).json(path, mode="PERMISSIVE")

@@ -1,8 +1,10 @@
 import json
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+from engram.functions import text as X
 from engram.operators import health, retrieval, selection
 from engram.sources import tables
 from engram.streaming import sessions
@@ -20,17 +22,26 @@ def test_admission(spark, scores, options, expected):
 
 
 def test_bm25_counts_a_term_once_and_prefers_rare_ones(spark):
-    docs = [("all", i, "problem", ["common", f"w{i}"]) for i in range(30)] + [("all", 99, "problem", ["common", "rare"]), ("all", 100, "problem", [])]
-    frame = spark.createDataFrame(docs, "scope string, item_id long, field string, tokens array<string>")
+    docs = [("all", i, "problem", f"common w{i}") for i in range(30)] + [("all", 99, "problem", "common rare"), ("all", 100, "problem", None)]
+    frame = retrieval.index_face(spark.createDataFrame(docs, "scope string, item_id long, field string, text string"))
     q = lambda t: retrieval.query_terms(spark.createDataFrame([("all", 1, t)], "scope string, query_id long, text string"), {"problem": 1.0})
     once, twice = (retrieval.top(retrieval.bm25(frame, q(t)), ["query_id"], 3).orderBy("rank").collect() for t in ("common rare", "common common rare rare"))
     assert once == twice and once[0].item_id == 99
 
 
 def test_anchored_terms_weigh_the_maximum(spark):
-    q = spark.createDataFrame([("a", 1, "alpha beta", {"problem": ["alpha"]})], "scope string, query_id long, text string, anchored map<string,array<string>>")
-    got = {r.term: r.weight for r in retrieval.query_terms(q).where("field = 'problem'").collect()}
-    assert got == {"alpha": 1.6, "beta": 1.0}
+    q = spark.createDataFrame([("a", 1, "alpha beta", [("error", "alpha"), ("test_name", "beta"), ("issue", "beta")])], "scope string, query_id long, text string, anchors array<struct<kind:string,value:string>>")
+    got = {(r.field, r.term): r.weight for r in retrieval.query_terms(q, boosted="anchors").collect()}
+    assert got["problem", "alpha"] == 1.6 and got["problem", "beta"] == 1.0 and got["test", "beta"] == pytest.approx(0.8 * 1.6) and got["", "alpha"] == 0.25
+
+
+def test_counts_equal_the_native_tokens(spark):
+    texts = ["readFileSync HTTPServer_v2 x.y 3.14 12", "src/a_b/C.py ./run.sh a\\b.TXT v1.2-rc http://x.io/a.html", "检索记忆 測 ok", "Hello WORLD __init__ _x_ snake_case camelCase " + "a" * 70, "", None, "１２.３ é ñandú Ünder_score"]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
+    rows = frame.select("id", X.tokens(F.col("t")).alias("native"), X.term_counts(F.col("t")).alias("c"), X.latin_tokens(F.col("t")).alias("latin"), X.term_counts(F.col("t"), latin_only=True).alias("l")).collect()
+    for r in rows:
+        assert Counter(r.native) == {x.term: x.tf for x in r.c.terms} and r.c.n == len(r.native)
+        assert Counter(r.latin) == {x.term: x.tf for x in r.l.terms}
 
 
 def test_vectors_stay_in_their_scope(spark):
