@@ -97,11 +97,12 @@ def query_terms(queries: DataFrame, fields: dict[str, float] | None = None, term
     if fields is None:
         weights[PLAIN] = PLAIN_TERM_WEIGHT
     faces = lambda w: F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.lit(v).alias("weight")) for f, v in w.items()])).alias("face")
-    own = F.array_distinct(F.col(terms) if terms else X.tokens(F.col("text")))
-    out = queries.select("scope", "query_id", F.explode(own).alias("term"))
+    own = F.array_distinct(F.col(terms)) if terms else X.term_counts(F.col("text"))["terms"]["term"]
+    out = queries.select("scope", "query_id", own.alias("terms")).select("scope", "query_id", F.explode("terms").alias("term"))
     out = out.select("scope", "query_id", "term", faces(weights)).select("scope", "query_id", "face.field", "term", "face.weight")
     if boosted:
-        more = queries.select("scope", "query_id", F.explode(boosted).alias("a")).select("scope", "query_id", "a.kind", F.explode(X.tokens(F.col("a.value"))).alias("term"))
+        more = queries.select("scope", "query_id", F.explode(boosted).alias("a")).select("scope", "query_id", "a.kind", X.term_counts(F.col("a.value"))["terms"]["term"].alias("terms"))
+        more = more.select("scope", "query_id", "kind", F.explode("terms").alias("term"))
         field = F.create_map(*[F.lit(x) for kv in ANCHOR_FIELDS.items() for x in kv])[F.col("kind")]
         weight = F.create_map(*[F.lit(x) for f, w in weights.items() for x in (f, w * ANCHOR_BOOST)])[F.col("field")]
         more = more.withColumn("field", field).where("field IS NOT NULL").withColumn("weight", weight).where("weight IS NOT NULL")
@@ -128,18 +129,40 @@ def anchor_scores(anchors: DataFrame, asked: DataFrame, items: DataFrame) -> Dat
     return a.join(terms, ["scope", "kind", "value"]).groupBy("scope", "query_id", "item_id").agg(F.sum("w").alias("score"))
 
 
+def _dot(x: Column, y: Column) -> Column:
+    return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+
+
+def unit(vector: Column) -> Column:
+    """In double and to length 1; null where the length is zero."""
+    x = vector.cast("array<double>")
+    norm = F.sqrt(_dot(x, x))
+    return F.when(norm > 0, F.transform(x, lambda c: c / norm))
+
+
 def cosine(a: Column, b: Column) -> Column:
     """In double; null where a norm is zero or the lengths differ."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
     x, y = a.cast("array<double>"), b.cast("array<double>")
-    norm = F.sqrt(dot(x, x)) * F.sqrt(dot(y, y))
-    return F.when((F.size(x) == F.size(y)) & (norm > 0), dot(x, y) / norm)
+    norm = F.sqrt(_dot(x, x)) * F.sqrt(_dot(y, y))
+    return F.when((F.size(x) == F.size(y)) & (norm > 0), _dot(x, y) / norm)
+
+
+#: Parts that the vectors of a scope are dealt into where the queries are too many to be broadcast.
+SCOPE_PARTS = 32
 
 
 def vector_scores(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """vectors: scope, item_id, vec; queries: scope, query_id, qvec. Vectors of one scope only meet queries of the same."""
-    rows = vectors.join(queries, "scope").withColumn("score", cosine(F.col("vec"), F.col("qvec"))).where("score IS NOT NULL")
-    return rows.select("scope", "query_id", "item_id", "score")
+    """vectors: scope, item_id, vec; queries: scope, query_id, qvec. Vectors of one scope only meet queries of the same. Each norm is
+    taken once; where the queries are few the vectors stay where they are, else each scope is dealt into parts, so that a large one
+    is no single task."""
+    rows = vectors.select("scope", "item_id", unit(F.col("vec")).alias("x")).where("x IS NOT NULL")
+    asked, few = small(queries.select("scope", "query_id", unit(F.col("qvec")).alias("q")).where("q IS NOT NULL"))
+    if few:
+        pairs = rows.join(asked, "scope")
+    else:
+        every = F.explode(F.sequence(F.lit(0), F.lit(SCOPE_PARTS - 1))).alias("part")
+        pairs = rows.withColumn("part", F.pmod(F.xxhash64("item_id"), F.lit(SCOPE_PARTS)).cast("int")).join(asked.select("*", every), ["scope", "part"])
+    return pairs.where(F.size("x") == F.size("q")).select("scope", "query_id", "item_id", _dot(F.col("x"), F.col("q")).alias("score"))
 
 
 def rank_lists(channels: dict[str, DataFrame], k: int = CHANNEL_QUOTA) -> DataFrame:
@@ -166,6 +189,14 @@ def with_all_items(fused: DataFrame, queries: DataFrame, items: DataFrame) -> Da
     return every.join(fused, ["query_id", "item_id"], "left").withColumn("fused", F.coalesce("fused", F.lit(0.0)))
 
 
+def fill_items(queries: DataFrame, items: DataFrame, most: int = POOL_SIZE) -> DataFrame:
+    """query_id, item_id: the `most` newest items of each query's scope, which enter a pool with 0 where no channel found them. items may
+    have a column newness; ties and tables without it go by item_id. A scope gives `most` rows before it meets its queries."""
+    order = Window.partitionBy("scope").orderBy(*([F.desc("newness")] if "newness" in items.columns else []), "item_id")
+    newest = items.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).select("scope", "item_id")
+    return queries.select("scope", "query_id").distinct().join(newest, "scope").select("query_id", "item_id")
+
+
 def boost(ranks: Column, has_patch: Column, has_files: Column) -> Column:
     """What rank and form of a card add to its fused score."""
     term = lambda channel, top_: F.coalesce(F.lit(top_) / (1.0 + F.log1p(ranks[channel])), F.lit(0.0))

@@ -6,42 +6,24 @@ samples, labels are verdicts. Ids in brackets name the operators of the inventor
 """
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from engram.functions import text as X
 from engram.operators import cards, chunking, evidence, extraction, health, ingest, rendering, retrieval, selection
 from engram.sources import models
-from engram.sources.tables import dealt, table
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(oracle: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if oracle:
-            ORACLES[f.__name__] = oracle
-        return f
-
-    return add
-
-
-def _messages(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "conversations").select((F.col("conv_id") % 8).alias("user_id"), F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"), "role", "text")
+from engram.plans.registry import FILE as _FILE
+from engram.plans.registry import ORACLES, QUERIES, query
+from engram.plans.registry import PATCH as _PATCH
+from engram.plans.registry import documents as _documents
+from engram.plans.registry import events as _events
+from engram.plans.registry import messages as _messages
+from engram.plans.registry import parts as _parts
+from engram.plans.registry import patch as _patch
+from engram.sources.tables import table
 
-
-def _documents(spark: SparkSession, sf: str) -> DataFrame:
-    return dealt(table(spark, sf, "documents"))
-
-
-def _events(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+__all__ = ["ORACLES", "QUERIES"]
 
 
 # -- A: texts ---------------------------------------------------------------------------------------------------------
@@ -246,21 +228,6 @@ def coverage(spark, sf):
     return j.withColumn("coverage", F.round(F.try_divide("judged", "cards"), 4))
 
 
-_FLAGSHIP = f"""{_BM25}, h AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS r FROM bm),
-fu AS (SELECT item_id, doc_id, 1.0::DOUBLE / (60 + r) + 0.004 * (0.7 / (1 + ln(1 + r)) + 0.4) AS score FROM h WHERE r <= 400),
-fr AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank, max(score) OVER (PARTITION BY item_id) AS best FROM fu)"""
-
-
-@query(f"WITH {_FLAGSHIP} SELECT item_id, rank::INTEGER AS rank, doc_id, round(score, 6) AS score FROM fr WHERE rank <= 10 AND (score >= 0.15 * best OR rank <= 2)")
-def flagship_search(spark, sf):
-    """[R6-R9, O3, P3, P25] For each benchmark passage: recall, fusion, boosts, cut, floor."""
-    scored = retrieval.bm25(_cards(spark, sf), _asked(spark, sf))
-    fused = retrieval.fuse(retrieval.rank_lists({"field": scored}))
-    no = F.lit(False)
-    boosted = fused.withColumn("score", F.col("fused") + retrieval.boost(F.col("ranks"), no, no)).drop("ranks", "fused")
-    return selection.admit(retrieval.top(boosted, ["query_id"], 10)).select(F.col("query_id").alias("item_id"), "rank", F.col("item_id").alias("doc_id"), F.round("score", 6).alias("score"))
-
-
 # -- C: selection -----------------------------------------------------------------------------------------------------
 
 _LINES = """rl AS (SELECT l_orderkey AS query_id, l_linenumber AS rank, l_partkey AS item_id, l_extendedprice AS price, (1 - l_discount) / l_linenumber AS score, l_suppkey FROM lineitem)"""
@@ -465,15 +432,6 @@ def entities(spark, sf):
     return _documents(spark, sf).select("doc_id", F.explode_outer(e).alias("e")).where("e IS NOT NULL").select("doc_id", "e.kind", "e.value")
 
 
-_PATCH = "'diff --git a/src/' || lower(p_type[1:3]) || '_' || p_size || '.py b/src/' || lower(p_type[1:3]) || '_' || p_size || '.py' || chr(10) || '@@ -1 +1 @@' || chr(10) || '+def fn_' || p_size || '(x):' || chr(10) || '+class C' || p_size || ':'"
-
-
-def _patch() -> Column:
-    name = F.concat(F.lower(F.substring("p_type", 1, 3)), F.lit("_"), F.col("p_size").cast("string"), F.lit(".py"))
-    size = F.col("p_size").cast("string")
-    return F.concat(F.lit("diff --git a/src/"), name, F.lit(" b/src/"), name, F.lit("\n@@ -1 +1 @@\n+def fn_"), size, F.lit("(x):\n+class C"), size, F.lit(":"))
-
-
 @query(f"WITH p AS (SELECT p_partkey, {_PATCH} AS t FROM part) SELECT p_partkey, regexp_extract(t, 'b/(\\S+)', 1) AS file, regexp_extract(t, 'def (\\w+)', 1) || ',' || regexp_extract(t, 'class (\\w+)', 1) AS symbols FROM p")
 def patch_facts(spark, sf):
     """[X4, X5, X6, P11, P12, P14]"""
@@ -529,14 +487,6 @@ def pending_overlap(spark, sf):
 
 # -- G: cards ---------------------------------------------------------------------------------------------------------
 
-_FILE = "'src/' || lower(p_type[1:3]) || '_' || p_size || '.py'"
-
-
-def _parts(spark, sf) -> DataFrame:
-    name = F.concat(F.lit("src/"), F.lower(F.substring("p_type", 1, 3)), F.lit("_"), F.col("p_size").cast("string"), F.lit(".py"))
-    return table(spark, sf, "part").select("*", _patch().alias("patch"), name.alias("file"), F.col("p_size").cast("string").alias("size"))
-
-
 @query(f"SELECT p_partkey, '文件：' || {_FILE} || chr(10) || '位置：第 1 行' || chr(10) || '修改前：' || chr(10) || '(无)' || chr(10) || '修改后：' || chr(10) || 'def fn_' || p_size || '(x):' || chr(10) || 'class C' || p_size || ':' AS change FROM part")
 def change_blocks(spark, sf):
     """[X12, X32]"""
@@ -758,3 +708,6 @@ def guard_modes(spark, sf):
 def call_accounting(spark, sf):
     """[A21, A15, T22]"""
     return _events(spark, sf).groupBy("event_type").agg(F.count("*").alias("attempted"), F.count_if(F.col("value") > 40).alias("failed"), F.countDistinct("user_id").alias("scopes"))
+
+
+from engram.plans import search_queries  # noqa: E402, F401  (enters its queries)
