@@ -32,6 +32,8 @@ RESULT_LINE = r"(?m)^\s*(?:=+\s*)?(\d+\s+(?:passed|failed|error|errors|skipped)\
 SCRATCH_NAMES = "test_issue.py conftest_issue.py test_comprehensive.py reproduce_issue.py repro.py".split()
 SCRATCH_MARKS = "site-packages/ dist-packages/ miniconda anaconda /lib/python /home/ home/ .ds_store manual.yaml".split()
 DIGEST_LINE = r"(?i)(?:def\s+test_|assert\b|pytest\.raises|@pytest\.mark)"
+HARNESS = ("swebench_9_15/testbed/", "swebench_9_15/", "testbed/")
+OBJECT_DUMP = r"(?i)0x[0-9a-f]{6,}|OrderedDict\(\[|<[A-Za-z_][\w.]*(?:\.[A-Za-z_]\w+)* object at|array\(\[[^\]]{20,}"
 TOOL_ARTEFACT = r"(?i)^(?:\[tool_result\]|\[tool:|todos?\s+(?:have|has)\s+been|file\s+(?:created|updated|written) successfully|the file .* has been (?:created|updated))"
 HAZARDS = (
     ("code", r"(?m)(?:^\s*```|^\s*diff --git\b|^\s*@@)"),
@@ -81,8 +83,15 @@ def capped(found: Column, most: int = MOST_PER_KIND) -> Column:
 
 
 def clean_path(path: Column) -> Column:
+    """With forward slashes, relative to the repository: without the sides of a diff and what a harness puts before."""
     path = F.regexp_replace(F.regexp_replace(F.trim(path), r"\\", "/"), r"^(?:\./)+", "")
-    return F.regexp_replace(F.regexp_replace(path, "^[ab]/", ""), "^/+|/+$", "")
+    path = F.regexp_replace(path, "^[ab]/", "")
+    inner = path
+    for prefix in reversed(HARNESS):  # the first of the list that occurs counts
+        before = rf"(?is)^.*?{prefix}"
+        inner = F.when(path.rlike(before), F.regexp_replace(path, before, "")).otherwise(inner)
+    path = inner
+    return F.regexp_replace(path, "^/+|/+$", "")
 
 
 def is_scratch_path(path: Column) -> Column:
@@ -135,6 +144,12 @@ def hazards(value: Column) -> Column:
     return F.array_compact(F.array(*[F.when(value.rlike("(?U)" + p), F.lit(name)) for name, p in HAZARDS]))
 
 
+def problem_hazards(value: Column) -> Column:
+    """What a problem may not hold: symptoms may name commands and paths, but no pasted blocks, lines, dumps of objects or fixes."""
+    patterns = {**dict(HAZARDS), "dump": OBJECT_DUMP}
+    return F.array_compact(F.array(*[F.when(value.rlike("(?U)" + patterns[n]), F.lit(n)) for n in ("code", "line", "dump", "narration")]))
+
+
 def ungrounded(value: Column, evidence: Column) -> Column:
     """Sorted identifiers of value that the evidence (white space collapsed, lower case) doesn't hold."""
     tokens = F.concat(*[_all(value, p, 0) for p in ANCHORS])

@@ -42,13 +42,13 @@ def tokenize_paths(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.explode(X.path_tokens(F.col("url"))).alias("token"))
 
 
-@query("""WITH t AS (SELECT r_regionkey, '检索记忆' || r_name || '测' AS t FROM region),
-r AS (SELECT r_regionkey, unnest(regexp_extract_all(t, '[一-鿿]+')) AS run FROM t)
-SELECT r_regionkey, unnest(CASE WHEN length(run) = 1 THEN [run] ELSE list_transform(range(1, length(run)), lambda i: substr(run, i, 2)) END) AS bigram FROM r""")
+@query("""WITH t AS (SELECT p_partkey, substr('检索记忆系统的历史经验与修复案例', p_size % 9 + 1, p_size % 6) || p_name || substr('测试验证', 1, p_size % 4) AS t FROM part),
+r AS (SELECT p_partkey, unnest(regexp_extract_all(t, '[一-鿿]+')) AS run FROM t)
+SELECT p_partkey, unnest(CASE WHEN length(run) = 1 THEN [run] ELSE list_transform(range(1, length(run)), lambda i: substr(run, i, 2)) END) AS bigram FROM r""")
 def cjk_bigrams(spark, sf):
     """[F3]"""
-    text = F.concat(F.lit("检索记忆"), F.col("r_name"), F.lit("测"))
-    return table(spark, sf, "region").select("r_regionkey", F.explode(X.cjk_bigrams(text)).alias("bigram"))
+    text = F.concat(F.expr("substr('检索记忆系统的历史经验与修复案例', p_size % 9 + 1, p_size % 6)"), F.col("p_name"), F.expr("substr('测试验证', 1, p_size % 4)"))
+    return table(spark, sf, "part").select("p_partkey", F.explode(X.cjk_bigrams(text)).alias("bigram"))
 
 
 @query(f"""WITH d AS (SELECT doc_id, lang, len({X.sql_tokens('text')})::BIGINT AS dl FROM documents)
@@ -79,9 +79,8 @@ def denoise_pages(spark, sf):
 @query("""SELECT conv_id AS session_id, sha256(string_agg(role || chr(30) || text || chr(30) || chr(29), '' ORDER BY turn)) AS content_hash FROM conversations GROUP BY conv_id""")
 def content_hash(spark, sf):
     """A request's messages are bounded by validation, so is its group."""
-    m = _messages(spark, sf).withColumn("part", F.concat("role", F.lit("\x1e"), "text", F.lit("\x1e\x1d")))
-    parts = F.array_sort(F.collect_list(F.struct("seq", "part")))
-    return m.groupBy("session_id").agg(F.sha2(F.array_join(F.transform(parts, lambda p: p["part"]), "").cast("binary"), 256).alias("content_hash"))
+    m = _messages(spark, sf).select(F.col("session_id").alias("request_id"), F.col("seq").alias("message_index"), "role", F.col("text").alias("content"))
+    return ingest.content_hashes(m).withColumnRenamed("request_id", "session_id")
 
 
 @query("""SELECT conv_id, turn, 'm:' || substr(sha256((conv_id % 8) || chr(31) || conv_id || chr(31) || turn || chr(31)), 1, 24) AS message_id FROM conversations""")
@@ -96,12 +95,23 @@ def token_estimate(spark, sf):
     return table(spark, sf, "documents").select("doc_id", X.token_estimate(F.col("text")).alias("tokens"))
 
 
-@query(r"""SELECT page_id, url, (length(url) < 3 OR contains(url, '://') OR starts_with(url, 'www.') OR regexp_matches(url, '(?i)^(?:[\w-]+\.)+(?:com|org|net|io|ai|dev|cn|edu|gov)$')) AS junk,
- regexp_replace('A. ' || url, '^\s*(?:[A-Za-z]|[0-9]{1,2})\s*[.):、]\s*', '') AS option FROM (SELECT page_id, regexp_extract(url, '://([^/]+)', 1) AS url FROM pages)""")
+_DOMAIN = r"(?i)^(?:[\w-]+\.)+(?:com|org|net|io|ai|dev|cn|edu|gov)$"
+
+
+@query(rf"""WITH u AS (SELECT page_id, url, unnest([{{'kind': 'host', 'value': regexp_extract(url, '://([^/]+)', 1)}}, {{'kind': 'path', 'value': url}}, {{'kind': 'path', 'value': regexp_extract(url, '://(.*)$', 1)}}, {{'kind': 'path', 'value': 'docs/p' || page_id || CASE page_id % 3 WHEN 0 THEN '.md' WHEN 1 THEN '.py' ELSE '.HTML' END}},
+ {{'kind': 'config_key', 'value': CASE page_id % 2 WHEN 0 THEN 'docs.page' ELSE 'app.page' END || page_id}}, {{'kind': 'error', 'value': CASE page_id % 4 WHEN 0 THEN 'N/A' WHEN 1 THEN 'ab' WHEN 2 THEN 'null' ELSE 'KeyError' END}}]) AS e FROM pages),
+l AS (SELECT page_id, e.kind AS kind, e.value AS value, lower(trim(e.value)) AS low FROM u)
+SELECT page_id, kind, value, (length(low) < 3 OR low IN ('n/a', 'na', 'none', 'null', 'http', 'https', 'www') OR contains(low, '://') OR starts_with(low, 'www.') OR regexp_matches(low, '{_DOMAIN}')
+ OR (kind = 'path' AND regexp_extract(low, '[^.]*$') IN ('html', 'md', 'rst', 'txt', 'css', 'scss')) OR (kind = 'config_key' AND (starts_with(low, 'www.') OR starts_with(low, 'docs.')))) AS junk,
+ regexp_replace('A. ' || value, '^\s*(?:[A-Za-z]|[0-9]{{1,2}})\s*[.):、]\s*', '') AS option FROM l""")
 def junk_entities(spark, sf):
-    """[P8, P9]"""
-    p = table(spark, sf, "pages").select("page_id", F.regexp_extract("url", "://([^/]+)", 1).alias("url"))
-    return p.select("page_id", "url", X.is_junk_entity(F.lit("host"), F.col("url")).alias("junk"), X.strip_option(F.concat(F.lit("A. "), "url")).alias("option"))
+    """[P8, P9] Whole urls, their hosts and paths, and made-up documents, keys and errors."""
+    n, pick = F.col("page_id").cast("string"), lambda k, *v: F.element_at(F.array(*map(F.lit, v)), (F.col("page_id") % k + 1).cast("int"))
+    said = {("host", 0): F.regexp_extract("url", "://([^/]+)", 1), ("path", 1): F.col("url"), ("path", 2): F.regexp_extract("url", "://(.*)$", 1), ("path", 3): F.concat(F.lit("docs/p"), n, pick(3, ".md", ".py", ".HTML")),
+            ("config_key", 4): F.concat(pick(2, "docs.page", "app.page"), n), ("error", 5): pick(4, "N/A", "ab", "null", "KeyError")}
+    e = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("value")) for (k, _), v in said.items()]))
+    p = table(spark, sf, "pages").select("page_id", e.alias("e")).select("page_id", "e.kind", "e.value")
+    return p.select("page_id", "kind", "value", X.is_junk_entity(F.col("kind"), F.col("value")).alias("junk"), X.strip_option(F.concat(F.lit("A. "), "value")).alias("option"))
 
 
 # -- B: recall --------------------------------------------------------------------------------------------------------
@@ -330,15 +340,16 @@ def verdict_histogram(spark, sf):
 @query("""SELECT conv_id AS session_id, CASE WHEN bool_or(role NOT IN ('user', 'assistant')) THEN 'role' WHEN sum(length(text)) > 4000000 THEN 'total_length' END AS reason FROM conversations GROUP BY conv_id""")
 def validate_messages(spark, sf):
     """[P1, S1, T25]"""
-    m = _messages(spark, sf).groupBy("session_id").agg(F.collect_list(F.struct("role", F.col("text").alias("content"))).alias("messages"))
-    s = F.col("session_id").cast("string")
-    return m.select("session_id", ingest.reject_reason(s, s, s, F.col("messages")).alias("reason"))
+    m = _messages(spark, sf).select(F.col("session_id").alias("request_id"), "user_id", "session_id", F.col("seq").alias("message_index"), "role", F.col("text").alias("content"))
+    return ingest.reject_reasons(m).select("session_id", "reason")
 
 
-@query("""SELECT event_id, CASE WHEN length(trim(props)) = 0 THEN 'query' WHEN value::INTEGER NOT BETWEEN 0 AND 100 THEN 'top_k' END AS reason FROM events""")
+@query("""SELECT event_id, CASE WHEN user_id % 50 = 0 THEN 'user_id' WHEN event_type = 'error' THEN 'query' WHEN value::INTEGER NOT BETWEEN 0 AND 100 THEN 'top_k' WHEN event_id % 7 = 0 THEN 'options' END AS reason FROM events""")
 def validate_search(spark, sf):
     """[P2, S2]"""
-    return _events(spark, sf).select("event_id", ingest.search_reject_reason(F.col("props"), F.rint("value").cast("int")).alias("reason"))
+    user, text = F.when(F.col("user_id") % 50 != 0, F.col("user_id").cast("string")), F.when(F.col("event_type") == "error", " \t").otherwise(F.col("props"))
+    options = F.when(F.col("event_id") % 7 == 0, F.array("props", F.lit(None).cast("string"))).when(F.col("event_id") % 7 == 1, F.array("props"))
+    return _events(spark, sf).select("event_id", ingest.search_reject_reason(user, text, F.rint("value").cast("int"), options).alias("reason"))
 
 
 @query("""WITH w AS (SELECT event_id, user_id, date_trunc('day', ts) AS d, props, first(props) OVER o AS f, row_number() OVER o AS n FROM events WINDOW o AS (PARTITION BY user_id, date_trunc('day', ts) ORDER BY event_id))
@@ -448,12 +459,24 @@ def verify_recipe(spark, sf):
     return table(spark, sf, "supplier").select("s_suppkey", extraction.verification(t).alias("v")).select("s_suppkey", "v.cmd", "v.expect")
 
 
-@query(r"""SELECT conv_id, turn, CASE WHEN regexp_matches(text, '(?i)^\s*(add|modify|change|remove|replace|set|use|ensure|wrap|guard|check|call|initialize|initialise|update|fix|implement|introduce|make|apply|insert|delete|move|rename|refactor|run|test)\b') THEN true ELSE false END AS imperative,
- regexp_matches(text, '(?i)\bline\s+\d+\b|\bL\d{1,6}\b|:\d{2,5}\b') AS line FROM conversations""")
+_TOLD = "CASE turn % 7 WHEN 0 THEN '```x' WHEN 1 THEN 'run pip install it' WHEN 2 THEN 'in a/b_' || conv_id || '.py' WHEN 3 THEN 'at line ' || turn WHEN 4 THEN 'the fix works' WHEN 5 THEN 'obj at 0x7f00' || lpad(turn::VARCHAR, 4, '0') ELSE '' END || ' ' || text"
+
+
+@query(rf"""WITH t AS (SELECT conv_id, turn, {_TOLD} AS t FROM conversations), h AS (SELECT conv_id, turn, t,
+ regexp_matches(t, '(?m)(^\s*```|^\s*diff --git\b|^\s*@@)') AS code, regexp_matches(t, '(?i)(^\s*\$\s+\S|\bpytest\b|\bpython(3(\.\d+)?)?\s+-m\b|\bpip\s+install\b|\bgit\s+(checkout|diff|apply|clone|log|show)\b|\bnpm\s+|\bcargo\s+test\b|\bgo\s+test\b)') AS command,
+ regexp_matches(t, '[A-Za-z0-9_./\\~-]+\.({extraction._EXTENSIONS}|gradle|mod|lock)\b') AS path, regexp_matches(t, '(?i)\bline\s+\d+\b|\bL\d{{1,6}}\b|:\d{{2,5}}\b') AS line,
+ regexp_matches(t, '(?i)\b(the\s+)?(fix|patch|solution|implementation)\b|\bchanges?\s+made\b|\b(we|i)\s+(added|changed|modified|removed|created|updated|replaced|wrapped|introduced|implemented|fixed|set|moved|renamed|deleted)\b|\bthis\s+(fix|patch|change|solution)\b') AS narration,
+ regexp_matches(t, '(?i)^\s*(add|modify|change|remove|replace|set|use|ensure|wrap|guard|check|call|initialize|initialise|update|fix|implement|introduce|make|apply|insert|delete|move|rename|refactor|run|test)\b') AS imperative,
+ regexp_matches(t, '(?i)0x[0-9a-f]{{6,}}|OrderedDict\(\[|array\(\[[^\]]{{20,}}') AS dump FROM t)
+SELECT conv_id, turn, concat_ws(',', CASE WHEN code THEN 'code' END, CASE WHEN command THEN 'command' END, CASE WHEN path THEN 'path' END, CASE WHEN line THEN 'line' END, CASE WHEN narration THEN 'narration' END, CASE WHEN imperative THEN 'imperative' END) AS hazards,
+ concat_ws(',', CASE WHEN code THEN 'code' END, CASE WHEN line THEN 'line' END, CASE WHEN dump THEN 'dump' END, CASE WHEN narration THEN 'narration' END) AS of_problem FROM h""")
 def admission_hazards(spark, sf):
-    """[P19, P20]"""
-    h = extraction.hazards(F.col("text"))
-    return table(spark, sf, "conversations").select("conv_id", "turn", F.array_contains(h, "imperative").alias("imperative"), F.array_contains(h, "line").alias("line"))
+    """[P19, P20] Every message, with a hazard of each kind written before some."""
+    conv, turn = F.col("conv_id").cast("string"), F.col("turn").cast("string")
+    said = {0: F.lit("```x"), 1: F.lit("run pip install it"), 2: F.concat(F.lit("in a/b_"), conv, F.lit(".py")), 3: F.concat(F.lit("at line "), turn), 4: F.lit("the fix works"), 5: F.concat(F.lit("obj at 0x7f00"), F.lpad(turn, 4, "0"))}
+    told = F.concat(F.coalesce(*[F.when(F.col("turn") % 7 == k, v) for k, v in said.items()], F.lit("")), F.lit(" "), "text")
+    t = table(spark, sf, "conversations").select("conv_id", "turn", told.alias("t"))
+    return t.select("conv_id", "turn", F.array_join(extraction.hazards(F.col("t")), ",").alias("hazards"), F.array_join(extraction.problem_hazards(F.col("t")), ",").alias("of_problem"))
 
 
 @query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'keyerror,my_fn_' || p_size ELSE 'my_fn_' || p_size END AS missing FROM part")
@@ -710,4 +733,4 @@ def call_accounting(spark, sf):
     return _events(spark, sf).groupBy("event_type").agg(F.count("*").alias("attempted"), F.count_if(F.col("value") > 40).alias("failed"), F.countDistinct("user_id").alias("scopes"))
 
 
-from engram.plans import search_queries  # noqa: E402, F401  (enters its queries)
+from engram.plans import search_queries, store_queries  # noqa: E402, F401  (they enter their queries)

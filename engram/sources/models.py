@@ -4,12 +4,15 @@
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 Embed = Callable[[list[str]], list[list[float]] | None]
 Complete = Callable[[str], str | None]
@@ -92,6 +95,31 @@ def rerank_scores(response: Column, documents: Column) -> Column:
     return F.when(whole, F.map_from_entries(F.transform(rows, lambda r: F.struct(r["index"], F.greatest(F.lit(0.0), F.least(F.lit(1.0), r["score"]))))))
 
 
+def _json_in(answer: str | None) -> str | None:
+    body = (answer or "").strip()
+    rows = body.splitlines()
+    if body.startswith("```") and len(rows) >= 3:
+        body = "\n".join(rows[1:-1] if rows[-1].strip().startswith("```") else rows[1:]).strip()
+    for text in (body, *(body[body.find(a) : body.rfind(b) + 1] for a, b in ("{}", "[]") if a in body)):
+        try:
+            json.loads(text)
+            return text
+        except ValueError:
+            continue
+    return None
+
+
+def loose_json(answer: Column) -> Column:
+    """The JSON text in an answer: the whole, or what a fence holds, or from the first brace to the last, or else bracket to bracket; null
+    where none of these parses."""
+
+    @F.arrow_udf(T.StringType())
+    def found(answers: pa.Array) -> pa.Array:
+        return pa.array(map(_json_in, answers.to_pylist()), pa.string())
+
+    return found(answer)
+
+
 def parsed_answer(answer: Column, schema: str) -> Column:
-    """An answer's JSON as a struct, from its first brace to its last; null where it doesn't parse."""
-    return F.from_json(F.nullif(F.regexp_extract(answer, r"(?s)\{.*\}", 0), F.lit("")), schema)
+    """An answer's JSON (loose_json) as a struct; null where it holds none."""
+    return F.from_json(loose_json(answer), schema)
