@@ -15,8 +15,8 @@ from engram.operators.rendering import strip
 # Sizes, patterns and the texts of the prompts.
 BATCH_CHUNKS, MOST_CALLS, PREFIX_CHUNKS, PREFIX_CHARS = 600, 5, 3, 1200
 DIFF_DIGEST, TEST_DIGEST, MOST_DIGEST, MOST_HUNKS, MOST_TEST_LINES, LINE_CHARS = 1300, 1200, 2600, 12, 8, 120
-HUNK_HEAD = r"(?m)^@@.*?@@.*$"
-TEST_LINE = r"(?i)^\s*(?:assert\b|def\s+test_|self\.assert|expect\(|raises\b|pytest\.raises|@pytest)"
+CHANGE_LINE = r"(?m)^@@.*$|^[-+][^-+].*$"
+TEST_LINE = r"(?i)(?:assert\b|def test_|raises\b|pytest\.raises|assert_equal|assert_allclose|assert_raises|FAILED|PASSED)"
 DIGEST_DIFF_LABEL = "diff 分支结构（@@ 上下文与决定性增删行）:\n"
 DIGEST_TEST_LABEL = "测试断言行（逐字）:\n"
 DIGEST_LABEL = "证据预消化（机械提取，仅供 implement 三段断言引用，不得虚构其外内容）："
@@ -46,31 +46,24 @@ def batches(chunks: DataFrame, size: int = BATCH_CHUNKS, most: int = MOST_CALLS)
     return both.withColumn("place", F.row_number().over(order)).drop("_own")
 
 
-def _digest_block(text: Column) -> Column:
-    """struct(diff, test): what one chunk adds to the digest, null where it adds nothing."""
-    clip = lambda values, most: F.transform(F.slice(values, 1, most), lambda h: F.substring(strip(h), 1, LINE_CHARS))
-    hunks = F.regexp_extract_all(text, F.lit(HUNK_HEAD), F.lit(0))
-    tests = F.filter(F.split(text, r"\r\n|\n|\r"), lambda x: x.rlike(TEST_LINE))
-    joined = lambda values: F.nullif(F.array_join(values, " | "), F.lit(""))
-    is_diff = text.contains("diff --git")
-    return F.struct(F.when(is_diff, joined(clip(hunks, MOST_HUNKS))).alias("diff"), F.when(~is_diff, joined(clip(tests, MOST_TEST_LINES))).alias("test"))
-
-
 def digest(texts: Column) -> Column:
-    """Of chunk texts in order: heads of hunks and lines that assert, each kind until its budget is reached, with a label; empty where there are
-    none."""
-
-    def until(kind: str, budget: int) -> Column:
-        start = F.struct(F.lit(0).alias("used"), F.array().cast("array<string>").alias("out"))
-
-        def step(state: Column, block: Column) -> Column:
-            takes = block[kind].isNotNull() & (state["used"] < budget)
-            return F.when(takes, F.struct((state["used"] + F.length(block[kind])).alias("used"), F.concat(state["out"], F.array(block[kind])).alias("out"))).otherwise(state)
-
-        return F.aggregate(F.transform(texts, _digest_block), start, step, lambda s: F.array_join(s["out"], "\n"))
-
-    label = lambda name, c: F.when(c != "", F.concat(F.lit(name), c))
-    return F.substring(F.concat_ws("\n", label(DIGEST_DIFF_LABEL, until("diff", DIFF_DIGEST)), label(DIGEST_TEST_LABEL, until("test", TEST_DIGEST))), 1, MOST_DIGEST)
+    """Of chunk texts in order: the lines that change something, and those that assert something, each kind until its budget is reached, with a
+    label; empty where there are none. A diff counts as such until the budget of diffs is reached, then as any text."""
+    clip = lambda values, most: F.nullif(F.array_join(F.transform(F.slice(values, 1, most), lambda x: F.substring(strip(x), 1, LINE_CHARS)), " | "), F.lit(""))
+    asserted = lambda text: F.filter(F.split(text, r"\r\n|\n|\r"), lambda x: x.rlike(TEST_LINE))
+    blocks = F.transform(texts, lambda t: F.struct(t.contains("diff --git").alias("is_diff"), clip(F.regexp_extract_all(t, F.lit(CHANGE_LINE), F.lit(0)), MOST_HUNKS).alias("diff"), clip(asserted(t), MOST_TEST_LINES).alias("test")))
+    size = lambda lines_: F.aggregate(lines_, F.lit(0), lambda n, x: n + F.length(x))
+
+    def step(state: Column, b: Column) -> Column:
+        as_diff = b["is_diff"] & (size(state["diffs"]) < DIFF_DIGEST)
+        as_test = ~as_diff & (size(state["tests"]) < TEST_DIGEST)
+        more = lambda lines_, x, ok: F.when(ok & x.isNotNull(), F.concat(lines_, F.array(x))).otherwise(lines_)
+        return F.struct(more(state["diffs"], b["diff"], as_diff).alias("diffs"), more(state["tests"], b["test"], as_test).alias("tests"))
+
+    none = F.array().cast("array<string>")
+    label = lambda name, c: F.when(F.size(c) > 0, F.concat(F.lit(name), F.array_join(c, "\n")))
+    finish = lambda s: F.substring(F.concat_ws("\n", label(DIGEST_DIFF_LABEL, s["diffs"]), label(DIGEST_TEST_LABEL, s["tests"])), 1, MOST_DIGEST)
+    return F.aggregate(blocks, F.struct(none.alias("diffs"), none.alias("tests")), step, finish)
 
 
 def extraction_prompts(batched: DataFrame, opening: str = "") -> DataFrame:

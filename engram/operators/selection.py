@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 # Fixed values of the output stage.
+POOL_SIZE = 200
 TIERS = ((10, 1600), (30, 1000), (60, 700))
 LAST_TIER = 450
 SCORE_RATIO, LEAST_ITEMS, TOKEN_CAP = 0.15, 2, 96_000
@@ -54,8 +55,9 @@ def admit(ranked: DataFrame, ratio: float = SCORE_RATIO, least: float = 0.0, lea
 
 
 def spread_files(ranked: DataFrame, after: int = 2) -> DataFrame:
-    """ranked: query_id, item_id, rank, files (array). Beyond the first `after` picks, an item that shares a file with the picked ones
-    goes behind those that don't, in order; ties of rank go by item_id. Adds position."""
+    """ranked: query_id, item_id, rank, files (array); what lies beyond a pool's size in rank goes. Beyond the first `after` picks, an item
+    that shares a file with the picked ones goes behind those that don't, in order; ties of rank go by item_id. Adds position."""
+    ranked = ranked.where(F.col("rank") <= POOL_SIZE)
     row = F.struct("rank", "item_id", F.struct(*ranked.columns).alias("row"))
     before = lambda a, b: (a["rank"] < b["rank"]) | ((a["rank"] == b["rank"]) & (a["item_id"] < b["item_id"]))
     rows = F.transform(F.array_sort("rows", lambda a, b: F.when(before(a, b), -1).when(before(b, a), 1).otherwise(0)), lambda r: r["row"])
@@ -74,7 +76,9 @@ def spread_files(ranked: DataFrame, after: int = 2) -> DataFrame:
 
 
 def within_budget(ranked: DataFrame, cap: int = TOKEN_CAP) -> DataFrame:
-    """ranked: query_id, rank, tokens. An item that doesn't fit into what is left is passed over; later ones may fit."""
+    """ranked: query_id, rank, tokens; what lies beyond a pool's size in rank goes. An item that doesn't fit into what is left is passed
+    over; later ones may fit."""
+    ranked = ranked.where(F.col("rank") <= POOL_SIZE)
     rows = F.array_sort(F.collect_list(F.struct("rank", "tokens")))
 
     def step(state: Column, row: Column) -> Column:

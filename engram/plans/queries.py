@@ -268,10 +268,14 @@ def budget_tiers(spark, sf):
     return n.select("rank", selection.tier_cap(F.col("rank")).alias("cap"), selection.effective_top_k(F.col("rank")).alias("top_k"))
 
 
-@query()
+@query("""WITH l AS (SELECT l_orderkey AS q, l_partkey, l_suppkey % 5 AS file, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice) AS rank FROM lineitem),
+f AS (SELECT *, rank <= 2 OR row_number() OVER (PARTITION BY q, file ORDER BY rank) = 1 AS picked FROM l)
+SELECT q AS query_id, l_partkey AS item_id, rank::INTEGER AS rank, (row_number() OVER (PARTITION BY q ORDER BY picked DESC, rank))::INTEGER AS position FROM f""")
 def file_mmr(spark, sf):
-    """[D5]"""
-    return selection.spread_files(_lines(spark, sf).select("query_id", "item_id", F.col("rank").cast("int"), F.array((F.col("l_suppkey") % 5).cast("string")).alias("files"))).select("query_id", "item_id", "rank", "position")
+    """[D5] Each line has one file, so it waits unless it is among the first two or the first of its file."""
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "item_id", "l_extendedprice"))
+    rows = _lines(spark, sf).select("query_id", "item_id", place.alias("rank"), F.array((F.col("l_suppkey") % 5).cast("string")).alias("files"))
+    return selection.spread_files(rows).select("query_id", "item_id", "rank", "position")
 
 
 @query("""WITH RECURSIVE l AS (SELECT l_orderkey AS q, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice))::INTEGER AS rank, (l_extendedprice)::BIGINT AS tokens FROM lineitem),
@@ -640,7 +644,15 @@ def card_faces(spark, sf):
     return p.withColumn("f", cards.faces(p)).select("p_partkey", F.col("f")["problem"].alias("problem"), F.col("f")["locate"].alias("locate"))
 
 
-@query()
+_SENTENCE = r"^(?s:(.*?))(?:[.!?。！？;；](?:\s|$)|\n)"
+
+
+@query(rf"""WITH RECURSIVE c AS (SELECT doc_id, text, 0 AS start, 0 AS stop, '' AS w FROM documents UNION ALL
+  SELECT doc_id, text, stop, stop + CASE WHEN regexp_matches(n, '{_SENTENCE}') THEN length(regexp_extract(n, '{_SENTENCE}', 1)) + 1
+    WHEN stop + 240 < length(text) AND length(regexp_extract(n, '^(?s:(.*\S))\s+\S*$', 1)) >= 120 THEN length(regexp_extract(n, '^(?s:(.*\S))\s+\S*$', 1)) ELSE length(n) END, n
+  FROM (SELECT doc_id, text, stop, substr(text, stop + 1, 240) AS n FROM c WHERE stop < length(text))),
+p AS (SELECT doc_id, start, regexp_replace(substr(text, start + 1, stop - start), '^\s+|\s+$', '', 'g') AS text FROM c WHERE stop > start)
+SELECT doc_id, 'Q' || CASE WHEN n < 10 THEN '0' ELSE '' END || n AS id, text FROM (SELECT doc_id, text, row_number() OVER (PARTITION BY doc_id ORDER BY start) AS n FROM p WHERE text <> '')""")
 def source_spans(spark, sf):
     """[F15, F16, R13] Whole texts in numbered pieces."""
     return table(spark, sf, "documents").select("doc_id", F.explode(cards.spans(F.col("text"), "Q", 1 << 30)).alias("s")).select("doc_id", "s.id", "s.text")
@@ -694,7 +706,7 @@ def embedded_documents(spark, sf):
 
 @query("SELECT item_id, 'read: ' || coalesce(text, '') AS answer FROM benchmark")
 def model_answers(spark, sf):
-    """[S21, X22, X23]"""
+    """[S21]"""
     b = table(spark, sf, "benchmark").select(F.col("item_id").alias("prompt_id"), F.col("text").alias("prompt"))
     return models.answers(b, "read: ".__add__).select(F.col("prompt_id").alias("item_id"), "answer")
 
@@ -721,7 +733,13 @@ def _samples(spark, sf) -> DataFrame:
     return _events(spark, sf).select(F.col("user_id").alias("scope"), F.col("event_id").alias("seq"), F.col("value").alias("elapsed"), (F.col("event_type") == "error").alias("overran"))
 
 
-@query()
+@query("""WITH RECURSIVE w AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, avg(CASE WHEN event_type = 'error' OR value > 40 THEN 1 ELSE 0 END) OVER o AS slow, list_sort(list(value) OVER o) AS v
+  FROM events WINDOW o AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)),
+f AS (SELECT user_id, event_id, n, slow, v[len(v) // 2 + 1] / 40.0 AS near FROM w),
+s AS (SELECT user_id, NULL::BIGINT AS event_id, 0::BIGINT AS n, 'full' AS mode, 0 AS healthy FROM (SELECT DISTINCT user_id FROM events) UNION ALL
+  SELECT f.user_id, f.event_id, f.n, CASE WHEN near > 0.8 THEN 'lex_only' WHEN slow > 0.2 THEN 'extract_lite' WHEN slow < 0.1 AND near < 0.6 THEN CASE WHEN healthy + 1 >= 10 THEN 'full' WHEN mode = 'lex_only' THEN 'extract_lite' ELSE mode END ELSE mode END,
+   CASE WHEN near > 0.8 OR slow > 0.2 THEN 0 WHEN slow < 0.1 AND near < 0.6 THEN healthy + 1 ELSE healthy END FROM s JOIN f ON f.user_id = s.user_id AND f.n = s.n + 1)
+SELECT user_id AS scope, event_id AS seq, mode FROM s WHERE event_id IS NOT NULL""")
 def guard_modes(spark, sf):
     """[W6, T14]"""
     return health.modes(_samples(spark, sf), 40.0).select("scope", "seq", "mode")
@@ -733,4 +751,4 @@ def call_accounting(spark, sf):
     return _events(spark, sf).groupBy("event_type").agg(F.count("*").alias("attempted"), F.count_if(F.col("value") > 40).alias("failed"), F.countDistinct("user_id").alias("scopes"))
 
 
-from engram.plans import search_queries, store_queries  # noqa: E402, F401  (they enter their queries)
+from engram.plans import model_queries, search_queries, store_queries  # noqa: E402, F401  (they enter their queries)

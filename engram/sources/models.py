@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from engram.operators import retrieval
+
 Embed = Callable[[list[str]], list[list[float]] | None]
 Complete = Callable[[str], str | None]
 RESULT = "array<struct<index:int,relevance_score:double,score:double>>"
@@ -85,6 +87,28 @@ def answers(prompts: DataFrame, complete: Complete, attempts: int = 2) -> DataFr
     return prompts.select("prompt_id", "prompt").mapInPandas(each, f"prompt_id {id_type}, prompt string, answer string")
 
 
+def repaired(prompts: DataFrame, complete: Complete, check: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """prompts: prompt_id, prompt; check: from (prompt_id, answer) to (prompt_id, notes) of those that are refused. Adds answer and calls: an
+    answer that is refused is asked for once more, with the notes behind the prompt, and the second answer counts."""
+    first = retrieval.kept(answers(prompts, complete, attempts=1))
+    refused = retrieval.kept(check(first.select("prompt_id", "answer")).select("prompt_id", "notes"))
+    again = first.join(refused, "prompt_id").select("prompt_id", F.concat("prompt", F.lit("\n"), "notes").alias("prompt"))
+    second = answers(again, complete, attempts=1).select("prompt_id", F.col("answer").alias("_second"), F.lit(2).alias("_calls"))
+    return first.join(second, "prompt_id", "left").select("prompt_id", "prompt", F.when(F.col("_calls") == 2, F.col("_second")).otherwise(F.col("answer")).alias("answer"), F.coalesce("_calls", F.lit(1)).alias("calls"))
+
+
+def limited(prompts: DataFrame, models: int) -> DataFrame:
+    """prompts in at most so many partitions: no more calls run at a time, however many cores there are."""
+    return prompts.coalesce(models) if prompts.rdd.getNumPartitions() > models else prompts
+
+
+def unjudged(requests: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """requests: query_id, request (all that a judge is told); verdicts: key of those judged before. Adds key; requests whose verdicts
+    are known go."""
+    keyed = requests.withColumn("key", F.sha2(F.col("request").cast("binary"), 256))
+    return keyed.join(verdicts.select("key").distinct(), "key", "left_anti")
+
+
 def rerank_scores(response: Column, documents: Column) -> Column:
     """A reranker's response (either dialect: results, or output.results) as a map of position to score between 0 and 1; null unless
     each of `documents` positions has a score."""
