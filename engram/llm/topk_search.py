@@ -44,8 +44,8 @@ SEED_ROWS = 8192
 FEW = 1 / 16
 #: Pairs whose statistics are gathered at a time.
 PAIRS = 1 << 17
-#: Below any product of scaled vectors; its negative is an int64 too.
-NO_SCORE = -(1 << 62)
+#: Below any product; its negative is an int64 too.
+NO_SCORE = -((1 << 63) - 1)
 NO_ID = np.iinfo(np.int64).max
 #: Sums of whole numbers up to here are exact in a double.
 EXACT = float(1 << 53)
