@@ -92,13 +92,14 @@ def verify_score(text: Column, kind: Column, group: Column) -> Column:
 def _best_of_messages(ranked: Column) -> Column:
     """ranked: array of PIECE, best first. One piece per message and per opening, MOST_VERIFY in all, in order of the session. A piece whose
     opening is taken leaves its message open to the next."""
-    opening = lambda p: F.substring(strip(F.regexp_replace(p["text"], r"(?U)\s+", " ")), 1, 120)
+    keyed = F.transform(ranked, lambda p: F.struct(p.alias("piece"), F.substring(strip(F.regexp_replace(p["text"], r"(?U)\s+", " ")), 1, 120).alias("opening")))
 
-    def step(out: Column, piece: Column) -> Column:
-        clash = F.exists(out, lambda o: (o["group"] == piece["group"]) | (opening(o) == opening(piece)))
-        return F.when((F.size(out) >= MOST_VERIFY) | clash, out).otherwise(F.concat(out, F.array(piece)))
+    def step(out: Column, x: Column) -> Column:
+        clash = F.exists(out, lambda o: (o["piece"]["group"] == x["piece"]["group"]) | (o["opening"] == x["opening"]))
+        return F.when((F.size(out) >= MOST_VERIFY) | clash, out).otherwise(F.concat(out, F.array(x)))
 
-    return F.array_sort(F.aggregate(ranked, F.array().cast(f"array<{PIECE}>"), step))
+    best = F.aggregate(keyed, F.array().cast(f"array<struct<piece:{PIECE},opening:string>>"), step)
+    return F.array_sort(F.transform(best, lambda x: x["piece"]))
 
 
 def _asserted(pieces: Column) -> Column:
@@ -172,8 +173,9 @@ def patches(chunks: DataFrame, most_lines: int = MOST_PATCH_LINES) -> DataFrame:
     messages = messages.select("session_id", "pos", F.when(has, diff_sections(F.col("text"))).otherwise(none).alias("diffs"), edits(F.col("text")).alias("edits"))
     joined = lambda c: F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", c))), lambda m: m[c]))
     per = messages.groupBy("session_id").agg(joined("diffs").alias("diffs"), joined("edits").alias("edits"))
-    key = lambda s: F.substring(F.regexp_replace(s, r"(?U)\s+", " "), 1, 500)
-    once = F.aggregate("diffs", none, lambda out, s: F.when(F.exists(out, lambda o: key(o) == key(s)), out).otherwise(F.concat(out, F.array(s))))
+    keys = F.transform("diffs", lambda s: F.substring(F.regexp_replace(s, r"(?U)\s+", " "), 1, 500))
+    per = per.withColumn("keys", keys)
+    once = F.filter("diffs", lambda s, i: F.array_position("keys", F.get("keys", i)) == i + 1)  # the first of each key
     rows = F.split(F.array_join(F.when(F.size("diffs") > 0, once).otherwise(F.array_distinct("edits")), "\n"), "\n")
     cut = F.concat(F.slice("rows", 1, most_lines), F.array(F.concat(F.lit("... [diff 截断，共 "), F.size("rows").cast("string"), F.lit(" 行]"))))
     per = per.where((F.size("diffs") > 0) | (F.size("edits") > 0)).select("session_id", rows.alias("rows"))

@@ -751,4 +751,4 @@ def call_accounting(spark, sf):
     return _events(spark, sf).groupBy("event_type").agg(F.count("*").alias("attempted"), F.count_if(F.col("value") > 40).alias("failed"), F.countDistinct("user_id").alias("scopes"))
 
 
-from engram.plans import model_queries, search_queries, store_queries  # noqa: E402, F401  (they enter their queries)
+from engram.plans import model_queries, search_queries, store_queries, stream_queries  # noqa: E402, F401  (they enter their queries)

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SCHEMA_VERSION = 9
-MESSAGES = T.ArrayType(T.StructType([T.StructField("role", T.StringType()), T.StructField("content", T.StringType()), T.StructField("timestamp", T.LongType())]))
+#: Times come as variants, so that validation can tell a number from a text.
+MESSAGES = T.ArrayType(T.StructType([T.StructField("role", T.StringType()), T.StructField("content", T.StringType()), T.StructField("timestamp", T.VariantType())]))
 ADD_REQUEST = T.StructType([T.StructField(c, T.StringType()) for c in ("request_id", "user_id", "session_id")] + [T.StructField("messages", MESSAGES)])
 
 
@@ -58,9 +59,9 @@ def response_json(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 
 class Publications:
-    """Tables that are replaced as a whole: files of a publication are written first, then a manifest that names them replaces the
-    live one in a single rename. Readers resolve the manifest once, so they see one state of all tables. Paths go through Hadoop's
-    file systems, so any store that Spark reads will do."""
+    """Tables that are replaced as a whole, or added to: files of a publication are written first, then a manifest that names each
+    table's publications replaces the live one in a single rename. Readers resolve the manifest once, so they see one state of all
+    tables. Paths go through Hadoop's file systems, so any store that Spark reads will do. One writer at a time."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root
@@ -79,16 +80,41 @@ class Publications:
 
     def publish(self, tables: dict[str, DataFrame]) -> str:
         """Write the tables under one publication and make them live together."""
-        publication, live = uuid.uuid4().hex, self.manifest()
+        return self._make_live(tables, uuid.uuid4().hex, replace=True)
+
+    def append(self, tables: dict[str, DataFrame], publication: str) -> str:
+        """Add rows to tables, all of them together. A publication of the same name (a batch that is tried again) is written anew and counts
+        once."""
+        return self._make_live(tables, publication, replace=False)
+
+    def once(self, marker: str, tables: dict[str, DataFrame]) -> bool:
+        """append() for an import that may happen once only; whether it has happened now."""
+        if marker in self.manifest().get("imports", []):
+            return False
+        self._make_live(tables, f"import-{marker}", replace=False, marker=marker)
+        return True
+
+    def _make_live(self, tables: dict[str, DataFrame], publication: str, replace: bool, marker: str | None = None) -> str:
+        live = self.manifest()
         for name, rows in tables.items():
-            rows.write.parquet(f"{self.root}/{name}/pub={publication}")
-            live["tables"][name] = publication
-        staged, target = self._path(f"{self.root}/manifest.{publication}"), self._path(f"{self.root}/manifest.json")
+            rows.write.mode("overwrite").parquet(f"{self.root}/{name}/pub={publication}")
+            before = [] if replace else live["tables"].get(name, [])
+            live["tables"][name] = [*(p for p in before if p != publication), publication]
+        if marker:
+            live["imports"] = [*live.get("imports", []), marker]
+        self._swap(live)
+        return publication
+
+    def stamp(self, version: int) -> None:
+        """Give the store another schema version: the last step of a migration, behind which older readers refuse it."""
+        self._swap(self.manifest() | {"schema_version": version})
+
+    def _swap(self, live: dict) -> None:
+        staged, target = self._path(f"{self.root}/manifest.{uuid.uuid4().hex}"), self._path(f"{self.root}/manifest.json")
         out = self._fs.create(staged, True)
         out.write(bytearray(json.dumps(live).encode()))
         out.close()
         self._replace(staged, target)
-        return publication
 
     def _replace(self, staged, target) -> None:
         """One rename over what is there, so that readers find the old manifest or the new one."""
@@ -103,4 +129,4 @@ class Publications:
         live = (manifest or self.manifest())["tables"]
         if name not in live:
             raise KeyError(name)
-        return self.spark.read.parquet(f"{self.root}/{name}/pub={live[name]}")
+        return self.spark.read.parquet(*[f"{self.root}/{name}/pub={p}" for p in live[name]])
