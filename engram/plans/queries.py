@@ -76,6 +76,14 @@ def denoise_pages(spark, sf):
     return table(spark, sf, "pages").select("page_id", X.denoise(F.col("html")).alias("clean"))
 
 
+@query("""WITH t AS (SELECT p_partkey, '<!-- ' || p_name || ' -->' || substr('a longer text that stays as it is', 1, p_size) AS t FROM part)
+SELECT p_partkey, CASE WHEN length(trim(regexp_replace(t, '<!--.*?-->', ' '))) < 20 THEN t ELSE trim(regexp_replace(t, '<!--.*?-->', ' ')) END AS used FROM t""")
+def denoise_fallback(spark, sf):
+    """[P7] A query that is mostly noise stays as it is."""
+    text = F.concat(F.lit("<!-- "), "p_name", F.lit(" -->"), F.expr("substr('a longer text that stays as it is', 1, p_size)"))
+    return table(spark, sf, "part").select("p_partkey", X.denoised_or_raw(text).alias("used"))
+
+
 @query("""SELECT conv_id AS session_id, sha256(string_agg(role || chr(30) || text || chr(30) || chr(29), '' ORDER BY turn)) AS content_hash FROM conversations GROUP BY conv_id""")
 def content_hash(spark, sf):
     """A request's messages are bounded by validation, so is its group."""
@@ -299,22 +307,11 @@ def judge_fuse(spark, sf):
     return selection.judged(d, v).select("query_id", "item_id", F.round("score", 9).alias("score"))
 
 
-@query("""WITH l AS (SELECT l_orderkey AS query_id, l_linenumber AS rank, l_partkey AS item_id, l_tax * 20 AS rr, count(*) OVER (PARTITION BY l_orderkey) AS n, count(*) FILTER (l_linenumber <= 4) OVER (PARTITION BY l_orderkey) AS m FROM lineitem),
-k AS (SELECT *, CASE WHEN rank <= 4 THEN 0.3 * greatest(0.0, least(1.0, rr)) + 0.7 * (m - rank + 1) / m END AS s FROM l WHERE query_id IN (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING count(*) = count(DISTINCT l_partkey) AND max(l_linenumber) = count(*)))
-SELECT query_id, item_id, round(CASE WHEN n < 2 THEN NULL ELSE coalesce(s, min(s) OVER (PARTITION BY query_id) - 0.001) END, 6) AS score FROM k""")
-def rerank_fuse(spark, sf):
-    """[R12, W3, S22] Only orders whose last line number is their count of lines and that hold no part twice; rerank_fuse_whole takes every order."""
-    l = table(spark, sf, "lineitem")
-    whole = l.groupBy("l_orderkey").agg(F.count("*").alias("n"), F.countDistinct("l_partkey").alias("d"), F.max("l_linenumber").alias("m")).where("n = d AND m = n").select("l_orderkey")
-    l = l.join(whole, "l_orderkey", "left_semi").select(F.col("l_orderkey").alias("query_id"), F.col("l_partkey").alias("item_id"), F.col("l_linenumber").alias("rank"), (F.col("l_tax") * 20).alias("rerank"))
-    return selection.reranked(l.drop("rerank"), l.select("query_id", "item_id", "rerank"), candidates=4).select("query_id", "item_id", F.round("score", 6).alias("score"))
-
-
 @query("""WITH l AS (SELECT l_orderkey AS query_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice) AS rank, l_partkey, l_tax * 20 AS rr,
   count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem),
 k AS (SELECT *, CASE WHEN rank <= 4 THEN 0.3 * greatest(0.0, least(1.0, rr)) + 0.7 * (least(n, 4) - rank + 1) / least(n, 4) END AS s FROM l)
 SELECT query_id, l_partkey || '-' || rank AS item_id, round(CASE WHEN n < 2 THEN NULL ELSE coalesce(s, min(s) OVER (PARTITION BY query_id) - 0.001) END, 6) AS score FROM k""")
-def rerank_fuse_whole(spark, sf):
+def rerank_fuse(spark, sf):
     """[R12, W3, S22] Every order: its lines are numbered, since line numbers have gaps and parts repeat."""
     place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_extendedprice"))
     l = table(spark, sf, "lineitem").withColumn("rank", place)
@@ -440,6 +437,31 @@ def chunk_lossless(spark, sf):
     return chunking.chunks(m).groupBy(F.col("request_id").alias("doc_id")).agg(F.sha2(whole.cast("binary"), 256).alias("whole"), F.max("char_end").cast("long").alias("n"))
 
 
+@query("""WITH t AS (SELECT p_partkey, p_size, 'intro ' || p_name || chr(10) AS a, '```' || chr(10) || 'code ' || p_size || chr(10) || '```' || chr(10) AS b, '$ pytest' || chr(10) AS c, p_size || ' passed' || chr(10) AS d FROM part),
+k AS (SELECT p_partkey, p_size, length(a) AS a, length(a || b) AS b, length(a || b || c) AS c, length(a || b || c || d) AS d FROM t),
+f AS (SELECT p_partkey, unnest([0, 1, 2, 3]) AS ord, unnest(['prose', 'code', 'command', 'test_result']) AS kind, unnest([0, a, b, c]) AS char_start, unnest([a, b, c, d]) AS char_end FROM k)
+SELECT p_partkey, ord, kind, char_start, char_end FROM f UNION ALL
+SELECT p_partkey, (4 + i)::INTEGER, 'prose', (d + 2000 * i)::INTEGER, least(d + 500 * p_size, d + 2000 * (i + 1))::INTEGER FROM k, (SELECT unnest(range(20)) AS i) WHERE 2000 * i < 500 * p_size""")
+def chunk_cuts(spark, sf):
+    """[F6, F7, F8, F9] Prose, a fence, a command, a test's outcome, and prose of 100 to 5000 words in one line, cut behind blanks."""
+    text = F.concat(F.lit("intro "), "p_name", F.lit("\n```\ncode "), F.col("p_size").cast("string"), F.lit("\n```\n$ pytest\n"), F.col("p_size").cast("string"), F.lit(" passed\n"), F.repeat(F.lit("word "), F.col("p_size") * 100))
+    m = table(spark, sf, "part").select(F.lit("u").alias("user_id"), F.col("p_partkey").alias("request_id"), F.lit(0).alias("message_index"), text.alias("content"))
+    return chunking.chunks(m).select(F.col("request_id").alias("p_partkey"), "ord", "kind", "char_start", "char_end")
+
+
+@query(r"""WITH t AS (SELECT p_partkey, p_size % 4 AS n, CASE p_size % 4 WHEN 0 THEN 'lines' WHEN 1 THEN 'short' WHEN 2 THEN 'mixed' ELSE 'blocks' END AS form, p_name FROM part)
+SELECT p_partkey, CASE form WHEN 'short' THEN ['prose:' || p_name || repeat(' x', 20) || chr(10) || 'more' || chr(10)] WHEN 'lines' THEN ['prose:' || repeat('a', 1200) || chr(10), 'prose:' || repeat('b', 900) || chr(10)]
+ WHEN 'mixed' THEN ['log:' || 'INFO start' || chr(10), 'diff:' || '@@ -1 +1 @@' || chr(10) || '+new' || chr(10), 'stack:' || 'KeyError: x' || chr(10), 'prose:' || 'end'] ELSE ['prose:' || repeat('c', 30) || chr(10) || chr(10) || repeat('d', 1500) || chr(10), 'prose:' || '## Head' || chr(10) || repeat('e', 1090) ] END AS told FROM t""")
+def chunk_merges(spark, sf):
+    """[F5, F6, F8] Lines that make one chunk, long lines that don't, kinds side by side, and a heading behind a short start."""
+    n, rep = F.col("p_size") % 4, lambda c, k: F.repeat(F.lit(c), F.lit(k))
+    text = F.when(n == 1, F.concat("p_name", rep(" x", 20), F.lit("\nmore\n"))).when(n == 0, F.concat(rep("a", 1200), F.lit("\n"), rep("b", 900), F.lit("\n"))).when(
+        n == 2, F.lit("INFO start\n@@ -1 +1 @@\n+new\nKeyError: x\nend")).otherwise(F.concat(rep("c", 30), F.lit("\n\n"), rep("d", 1500), F.lit("\n## Head\n"), rep("e", 1090)))
+    m = table(spark, sf, "part").select(F.lit("u").alias("user_id"), F.col("p_partkey").alias("request_id"), F.lit(0).alias("message_index"), text.alias("content"))
+    told = F.transform(F.array_sort(F.collect_list(F.struct("ord", F.concat("kind", F.lit(":"), "text").alias("t")))), lambda x: x["t"])
+    return chunking.chunks(m).groupBy(F.col("request_id").alias("p_partkey")).agg(told.alias("told"))
+
+
 @query()
 def entities(spark, sf):
     """[F10, F11, F12, D8, D10]"""
@@ -535,6 +557,19 @@ def idea_cards(spark, sf):
     return _parts(spark, sf).select("p_partkey", rendering.idea(F.col("p_name"), F.col("p_type"), F.array("p_brand"), edges, 45 + F.col("p_size") % 10).alias("content"))
 
 
+_SYMBOLS = "'fn_' || p_size || '{sep}C' || p_size"
+
+
+@query(f"""SELECT p_partkey, '[历史修复案例] · debug' || chr(10) || CASE WHEN p_size % 3 <> 0 THEN '问题：' || p_name || chr(10) || '文件：' || {_FILE} || chr(10) || '{rendering.HINT}' || chr(10) || '文件：' || {_FILE} || chr(10) || '位置：第 1 行' || chr(10) || '修改前：' || chr(10) || '(无)' || chr(10) || '修改后：' || chr(10) || 'def fn_' || p_size || '(x):' || chr(10) || 'class C' || p_size || ':'
+ ELSE '问题（历史线索，需在当前仓库确认）：' || p_name || chr(10) || '确认方式：在当前仓库检索 ' || {_SYMBOLS.format(sep='、')} || '，确认它们现在所在的文件后再编辑；不要直接使用历史文件。' END
+ || chr(10) || '验证：`pytest tests/test_' || p_size || '.py`' || chr(10) || '符号：' || {_SYMBOLS.format(sep=', ')} AS content FROM part""")
+def whole_packets(spark, sf):
+    """[X9, X14, X31, F18] Packets with room for all they hold."""
+    rows = _parts(spark, sf).select(
+        "p_partkey", "p_size", F.col("p_name").alias("problem"), F.array("file").alias("files"), extraction.symbols_of_patch(F.col("patch")).alias("symbols"), "patch", F.concat(F.lit("pytest tests/test_"), "size", F.lit(".py")).alias("cmd"))
+    return rendering.rendered(rows, F.lit(1600), F.col("p_size") % 3 != 0).select("p_partkey", "content")
+
+
 @query()
 def packets(spark, sf):
     """[X9, X14, X31, W4] Packets under the cap of their rank's tier, scaled down so that all steps of giving way occur."""
@@ -615,16 +650,20 @@ def session_windows(spark, sf):
     return evidence.windows(c)
 
 
-@query("""SELECT conv_id AS card_id, 'src/x.py' AS files, 'KeyError' AS conditions FROM conversations WHERE turn = 0 AND conv_id % 2 = 0""")
+@query("""SELECT conv_id * 1000 + turn AS card_id, CASE WHEN turn % 4 = 0 THEN 'src/x.py' ELSE '' END AS files, CASE WHEN turn % 4 = 0 THEN 'KeyError' ELSE '' END AS conditions, 'fails in' || CASE WHEN bool_or(turn % 4 = 0) OVER (PARTITION BY conv_id) THEN ' src/x.py' ELSE '' END AS problem
+FROM conversations WHERE turn % 2 = 0 AND turn % 6 <> 2""")
 def admitted_cards(spark, sf):
-    """[X10, X11, P15, P18, P26] One proposal per conversation; every second cites a chunk of its own."""
-    c = table(spark, sf, "conversations").where("turn = 0").select(F.col("conv_id").alias("session_id"))
-    chunks = c.select("session_id", F.concat(F.lit("c"), F.col("session_id").cast("string")).alias("chunk_id"), F.lit("src/x.py raised KeyError").alias("text"))
-    lists = {"files": F.array(F.lit("src/x.py"), F.lit("y.py")), "symbols": F.array(F.lit("zap")), "pitfalls": F.array(F.lit("vague")), "source_ids": F.array(F.when(F.col("session_id") % 2 == 0, F.concat(F.lit("c"), F.col("session_id").cast("string"))).otherwise("zz"))}
-    told = {"problem": F.lit("fails in src/x.py"), "implement": F.lit("guard it"), **{n: F.lit(None).cast("string") for n in ("locate", "shape", "boundaries", "acceptance", "mechanism")}}
-    facts = F.array(F.struct(F.lit("symbol").alias("type"), F.lit("KeyError").alias("value")), F.struct(F.lit("line").alias("type"), F.lit("src").alias("value")))
-    proposed = c.withColumns({"card_id": F.col("session_id"), "conditions": facts, **lists, **told})
-    return cards.admitted(proposed, chunks).select("card_id", F.array_join("files", ",").alias("files"), F.array_join(F.transform("conditions", lambda x: x["value"]), ",").alias("conditions"))
+    """[X10, X11, P15, P17, P18, P26] A proposal for each turn: odd turns cite nothing known, and of the others every third has no change. The facts are
+    in the text of every fourth turn; problems keep what the session holds."""
+    c = table(spark, sf, "conversations")
+    chunk, facts = F.concat_ws(":", "conv_id", "turn"), F.when(F.col("turn") % 4 == 0, F.lit(" src/x.py raised KeyError")).otherwise(F.lit(""))
+    chunks = c.select(F.col("conv_id").alias("session_id"), chunk.alias("chunk_id"), F.concat("text", facts).alias("text"))
+    lists = {"files": F.array(F.lit("src/x.py"), F.lit("y.py")), "symbols": F.array(F.lit("zap_zap")), "pitfalls": F.array(F.lit("vagueness")), "source_ids": F.array(F.when(F.col("turn") % 2 == 0, chunk).otherwise(F.lit("zz")))}
+    told = {"problem": F.lit("fails in src/x.py"), "implement": F.when(F.col("turn") % 6 != 2, F.lit("guard it")), **{n: F.lit(None).cast("string") for n in ("locate", "shape", "boundaries", "acceptance", "mechanism")}}
+    said = F.array(F.struct(F.lit("symbol").alias("type"), F.lit("KeyError").alias("value")), F.struct(F.lit("line").alias("type"), F.lit("src").alias("value")))
+    proposed = c.select(F.col("conv_id").alias("session_id"), "turn", (F.col("conv_id") * 1000 + F.col("turn")).alias("card_id")).withColumn("conv_id", F.col("session_id"))
+    proposed = proposed.withColumns({"conditions": said, **lists, **told})
+    return cards.admitted(proposed, chunks).select("card_id", F.array_join("files", ",").alias("files"), F.array_join(F.transform("conditions", lambda x: x["value"]), ",").alias("conditions"), "problem")
 
 
 @query("SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN 'feature' WHEN p_size % 4 = 1 THEN 'debug' WHEN p_size % 4 = 2 THEN 'feature' ELSE 'debug' END AS kind FROM part")
@@ -696,12 +735,19 @@ def patch_quotes(spark, sf):
 # -- H: models --------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT doc_id, 64 AS dim FROM documents")
+def _letters(texts: list[str]) -> list[list[float]]:
+    """A stand-in for an embedding model that SQL can follow: length, and how often two letters occur."""
+    return [[float(len(t)), float(t.count("a")), float(t.count("e"))] for t in texts]
+
+
+@query("SELECT doc_id, [length(text), length(text) - length(replace(text, 'a', '')), length(text) - length(replace(text, 'e', ''))]::DOUBLE[] AS vec FROM documents")
 def embedded_documents(spark, sf):
-    """[S20, J10, T17, T20]"""
+    """[S20, J10, T17, T20] The cache holds the texts of even ids before; each other text is embedded once, in batches."""
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("item_id"), "text")
-    new = retrieval.kept(models.missing_vectors(d, spark.createDataFrame([], "key string, vec array<double>"), models.hashed_embedder(), "hashed", 64))
-    return models.vectors(d, new, "hashed", 64).select(F.col("item_id").alias("doc_id"), F.size("vec").alias("dim"))
+    none = spark.createDataFrame([], "key string, vec array<double>")
+    cache = retrieval.kept(models.missing_vectors(d.where("item_id % 2 = 0"), none, _letters, "letters", 3))
+    new = retrieval.kept(models.missing_vectors(d, cache, _letters, "letters", 3))
+    return models.vectors(d, cache.unionByName(new), "letters", 3).select(F.col("item_id").alias("doc_id"), "vec")
 
 
 @query("SELECT item_id, 'read: ' || coalesce(text, '') AS answer FROM benchmark")
