@@ -643,6 +643,29 @@ def session_patches(spark, sf):
     return evidence.patches(twice.withColumn("message_id", F.col("pos"))).select(F.col("session_id").alias("p_partkey"), "patch")
 
 
+_CAUSE = "'The bug occurs because the cache keeps ' || p_name || repeat(' and again', 40)"
+_BETTER = "'assert f(' || p_size || ') == 1' || chr(10) || p_size || ' passed in tests/test_' || p_size || '.py' || repeat('.', 40)"
+_TRACE = "'Traceback of test_' || p_size || '.py ends here' || repeat(' and on', 10)"
+
+
+@query(f"""SELECT p_partkey AS session_id, 'It fails for ' || p_name AS problem, CASE WHEN p_size % 2 = 0 THEN '### Root Cause' || chr(10) || {_CAUSE} ELSE '' END AS summary, CASE WHEN p_size % 2 = 0 THEN {_CAUSE} ELSE '' END AS root_cause,
+ CASE WHEN p_size % 2 = 0 THEN 'ran all of it' ELSE '' END AS testing, CASE WHEN p_size % 2 = 1 THEN {_PATCH} ELSE '' END AS diff, '' AS tail, {_BETTER} || chr(10) || {_TRACE} AS verify, 'assert f(' || p_size || ') == 1' AS digest, p_size % 2 = 1 AS reconstructed FROM part""")
+def told_sessions(spark, sf):
+    """[X18, X19, X20, X29, W9, W10, W11, O7] A session for each part: an issue, then a closing summary or a change, then test output, of which each message gives its
+    best chunk. Without a summary the change stands for it."""
+    p, even = _parts(spark, sf), F.col("p_size") % 2 == 0
+    cause = F.concat(F.lit("The bug occurs because the cache keeps "), "p_name", F.repeat(F.lit(" and again"), F.lit(40)))
+    closing = F.concat(F.lit("## Root Cause\n"), cause, F.lit("\n## The Fix\nWe changed it.\n## Testing\nran all of it"))
+    better = F.concat(F.lit("assert f("), "size", F.lit(") == 1\n"), "size", F.lit(" passed in tests/test_"), "size", F.lit(".py"), F.repeat(F.lit("."), F.lit(40)))
+    trace = F.concat(F.lit("Traceback of test_"), "size", F.lit(".py ends here"), F.repeat(F.lit(" and on"), F.lit(10)))
+    row = lambda pos, message, role, kind, text: F.struct(F.lit(pos).alias("pos"), F.lit(message).alias("message_id"), F.lit(role).alias("role"), kind.alias("kind"), text.alias("text"))
+    rows = F.array(
+        row(0, 0, "user", F.lit("prose"), F.concat(F.lit("It fails for "), "p_name")), row(1, 1, "assistant", F.when(even, "prose").otherwise("diff"), F.when(even, closing).otherwise(F.col("patch"))),
+        row(2, 2, "user", F.lit("test_result"), F.concat("size", F.lit(" passed"), F.repeat(F.lit(" "), F.lit(9)), F.repeat(F.lit("-"), F.lit(60)))), row(3, 2, "user", F.lit("test_result"), better), row(4, 3, "user", F.lit("stack"), trace))
+    c = p.select(F.col("p_partkey").alias("session_id"), F.explode(rows).alias("r")).select("session_id", "r.*")
+    return evidence.windows(c.withColumn("chunk_id", F.concat_ws(":", "session_id", "pos")))
+
+
 @query()
 def session_windows(spark, sf):
     """[X18, X19, X29, W10, W11, O7]"""
