@@ -138,10 +138,10 @@ def candidate_links(distinct: DataFrame, list_limit: int = LIST_LIMIT) -> DataFr
     byte = lambda b: F.shiftrightunsigned("fp", 56 - 8 * b).bitwiseAND(F.lit(255))
     part = lambda k, bytes_: F.lit(k << 24) + F.shiftleft(byte(bytes_[0]), 16) + F.shiftleft(byte(bytes_[1]), 8) + byte(bytes_[2])
     postings = distinct.select("fp", F.explode(F.array(*[part(k, p) for k, p in enumerate(PARTS)])).alias("key"))
-    sizes = postings.groupBy("key").count().where("count > 1")
-    lists = postings.join(sizes, "key")
-    parts = F.ceil(F.col("count") / F.lit(list_limit)).cast("int")
-    lists = lists.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    # Only long lists are told their size, so that no key's postings meet but in the parts of its list.
+    long = broadcast_if_small(kept(postings.groupBy("key").count().where(F.col("count") > list_limit)))
+    parts = F.coalesce(F.ceil(F.col("count") / F.lit(list_limit)), F.lit(1)).cast("int")
+    lists = postings.join(long, "key", "left").withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
     lists = lists.select("key", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     lists = lists.select("key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "fp")
     return lists.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b").mapInArrow(_links_of_lists, "u long, v long").distinct()
