@@ -117,7 +117,8 @@ def shown_conditions(conditions: Column) -> Column:
     return _listed("条件：", F.transform(shown, lambda c: F.concat(c["type"], F.lit("="), c["value"])), sep=" · ")
 
 
-def _hard_cut(text: Column, tokens: Column) -> Column:
+def hard_cut(text: Column, tokens: Column) -> Column:
+    """The characters that so many tokens take by the estimate of length."""
     return F.substr(text, F.lit(1), F.greatest(F.lit(0), F.floor(tokens * F.lit(CHARS_PER_TOKEN)).cast("int")))
 
 
@@ -125,12 +126,12 @@ def cut_to_tokens(text: Column, cap: Column) -> Column:
     """text in at most cap tokens by the estimate of length, the mark of the cut included; cut at the last line end or else blank
     that lies in the last two fifths, and without a mark where there is no room for it."""
     room = cap - (int(len(CUT_MARK) / CHARS_PER_TOKEN) + 1)
-    cut = _hard_cut(text, room)
+    cut = hard_cut(text, room)
     size = F.length(cut)
     last = lambda sep: size - F.instr(F.reverse(cut), sep)
     at = lambda sep: F.when((F.instr(F.reverse(cut), sep) > 0) & (last(sep) > size * 0.6), last(sep))
     neat = F.regexp_replace(F.substr(cut, F.lit(1), F.coalesce(at("\n"), at(" "), size)), r"(?U)\s+$", "")
-    return F.when(cap <= 0, F.lit("")).when(X.token_estimate(text) <= cap, text).when(room <= 0, _hard_cut(text, cap)).otherwise(F.concat(neat, F.lit(CUT_MARK)))
+    return F.when(cap <= 0, F.lit("")).when(X.token_estimate(text) <= cap, text).when(room <= 0, hard_cut(text, cap)).otherwise(F.concat(neat, F.lit(CUT_MARK)))
 
 
 def body_tokens(content: Column) -> Column:

@@ -10,11 +10,14 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from engram.operators import extraction, ingest, prompts, retrieval, search, selection, store
+from engram import settings
+from engram.functions import text as X
+from engram.operators import extraction, ingest, prompts, rendering, retrieval, search, selection, store
 from engram.plans.registry import documents, events, messages, parts, query
-from engram.session import ensure_checkpoint_dir
+from engram.session import deadline, ensure_checkpoint_dir, metered
 from engram.sources import models
 from engram.sources.tables import Publications, response_json, table
+from engram.streaming import ingestion
 
 def _chunks(spark, sf) -> DataFrame:
     c = table(spark, sf, "conversations")
@@ -148,7 +151,7 @@ def card_entity_rows(spark, sf):
 
 @query("""SELECT p_partkey AS card_id, field, count(*) AS terms, sum(n)::BIGINT AS total FROM (SELECT p_partkey, field, term, count(*) AS n FROM (
  SELECT p_partkey, 'problem' AS field, unnest(TOKENS_OF_PROBLEM) AS term FROM part UNION ALL SELECT p_partkey, 'locate', unnest(TOKENS_OF_LOCATE) FROM part) GROUP BY ALL) GROUP BY p_partkey, field""".replace(
-    "TOKENS_OF_PROBLEM", store.X.sql_tokens("p_name || ' KeyError 1.' || p_size")).replace("TOKENS_OF_LOCATE", store.X.sql_tokens("'src/' || lower(p_type[1:3]) || '_' || p_size || '.py fn_' || p_size || ' C' || p_size")))
+    "TOKENS_OF_PROBLEM", X.sql_tokens("p_name || ' KeyError 1.' || p_size")).replace("TOKENS_OF_LOCATE", X.sql_tokens("'src/' || lower(p_type[1:3]) || '_' || p_size || '.py fn_' || p_size || ' C' || p_size")))
 def card_term_rows(spark, sf):
     """[S6, F29, T18] Terms by field; a symbol that the text before it holds isn't told again."""
     t = store.card_terms(_part_cards(spark, sf))
@@ -355,3 +358,60 @@ def prompt_dispatch(spark, sf):
     d = documents(spark, sf)
     return d.select("doc_id", prompts.system_prompt(F.col("lang"), {v: f"v{v}" for v in ("en", "de", "fr", "es")}, "v").alias("prompt"))
 
+
+# -- the rest of the service ------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH t AS (SELECT p_partkey, 'readFile_v' || p_size || ' in src/' || lower(p_type[1:3]) || '/A_' || p_size || '.py ' || substr('检索记忆系统', 1, p_size % 6) || ' ' || p_name || ' 3.' || p_size AS t, substr('检索记忆系统', 1, p_size % 6) AS c FROM part),
+k AS (SELECT p_partkey, unnest(list_concat({X.sql_tokens("t")}, CASE WHEN length(c) < 2 THEN list_filter([c], lambda x: x <> '') ELSE list_transform(range(1, length(c)), lambda i: substr(c, i, 2)) END)) AS term FROM t)
+SELECT p_partkey, term, count(*)::INTEGER AS tf FROM k GROUP BY ALL""")
+def all_tokens(spark, sf):
+    """Identifiers, paths, numbers and Chinese in one text, counted within the row."""
+    n = F.col("p_size").cast("string")
+    text = F.concat(F.lit("readFile_v"), n, F.lit(" in src/"), F.lower(F.substring("p_type", 1, 3)), F.lit("/A_"), n, F.lit(".py "), F.expr("substr('检索记忆系统', 1, p_size % 6)"), F.lit(" "), F.col("p_name"), F.lit(" 3."), n)
+    counts = table(spark, sf, "part").select("p_partkey", X.term_counts(text)["terms"].alias("terms"))
+    return counts.select("p_partkey", F.explode("terms").alias("t")).select("p_partkey", "t.term", "t.tf")
+
+
+@query("""SELECT p_partkey, 'see （历史文件） and （历史文件）, run （历史测试） or （历史测试）; ' || p_name AS told FROM part""")
+def historical_texts(spark, sf):
+    """[F32] Files by path and name, tests by node and name."""
+    n = F.col("p_size").cast("string")
+    path = F.concat(F.lit("src/a_"), n, F.lit(".py"))
+    text = F.concat(F.lit("see "), path, F.lit(" and a_"), n, F.lit(".py, run tests/t.py::test_x"), n, F.lit(" or test_y"), n, F.lit("; "), F.col("p_name"))
+    return table(spark, sf, "part").select("p_partkey", extraction.historical(text, F.array(path)).alias("told"))
+
+
+@query("""WITH t AS (SELECT doc_id, text, doc_id % 30 AS cap FROM documents) SELECT doc_id, substr(text, 1, floor(cap * 3.2)::INTEGER) AS cut FROM t""")
+def hard_cuts(spark, sf):
+    """[T27]"""
+    return table(spark, sf, "documents").select("doc_id", rendering.hard_cut(F.col("text"), F.col("doc_id") % 30).alias("cut"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' AND o_orderkey % 2 = 0 THEN 'failed' WHEN o_orderstatus = 'O' THEN 'processing' ELSE 'committed' END AS status FROM orders""")
+def startup_recovery(spark, sf):
+    """[T24, T8, T9] Leases of even orders ran out long ago, those of the others run on; what is committed stays."""
+    o = table(spark, sf, "orders")
+    held = o.select("o_orderkey", F.when(F.col("o_orderstatus") == "O", "processing").otherwise("committed").alias("status"), F.when(F.col("o_orderkey") % 2 == 0, F.lit("2001-01-01")).otherwise(F.lit("2999-01-01")).cast("timestamp").alias("lease_expires"))
+    return ingestion.recovered(held).select("o_orderkey", "status")
+
+
+@query("""SELECT m AS model, f AS flag, m <> '' AS applicability, m = 'gpt-4o-mini' AND f = 'on' AS transferability, CASE WHEN f = 'maybe' THEN 200 ELSE 50 END AS pool FROM (SELECT unnest(['', 'other', 'gpt-4o-mini']) AS m), (SELECT unnest(['on', 'off', 'maybe']) AS f)""")
+def judge_gates(spark, sf):
+    """[R22, S23, T26] What settings turn on; a value that doesn't parse leaves its default."""
+    rows = []
+    for model in ("", "other", "gpt-4o-mini"):
+        for flag in ("on", "off", "maybe"):
+            got = settings.load({"ENGRAM_JUDGE_MODEL": model, "ENGRAM_TRANSFERABILITY": flag, "ENGRAM_POOL_TOTAL": "x" if flag == "maybe" else " 50 "})
+            rows.append((model, flag, *got.judges(), got.pool_total))
+    return spark.createDataFrame(rows, "model string, flag string, applicability boolean, transferability boolean, pool int")
+
+
+@query("""SELECT 'rows' AS name, count(*) AS n FROM events UNION ALL SELECT 'slow', count(*) FILTER (value > 40) FROM events UNION ALL SELECT 'expired', 0""")
+def step_counts(spark, sf):
+    """[S25, T15, A21] Counts that a step gives while it is read, within a deadline that it keeps."""
+    rows, seen = metered(events(spark, sf), "step", slow=F.count_if(F.col("value") > 40))
+    with deadline(spark, 600) as record:
+        rows.write.format("noop").mode("overwrite").save()
+    got = {**seen.get, "expired": int(record["expired"])}
+    return spark.createDataFrame(list(got.items()), "name string, n long")
