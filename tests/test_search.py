@@ -113,7 +113,9 @@ def test_digest_budgets(spark):
     diff = "diff --git a/x b/x\n@@ -1 +1 @@ f\n" + "\n".join(f"+{'y' * 110}{i}" for i in range(30))
     texts = spark.createDataFrame([([diff] * 3 + ["assert 1\nnothing"] + [None],)], "t array<string>")
     got = texts.select(prompts.digest(F.filter("t", lambda x: x.isNotNull())).alias("d")).first().d
-    assert got.count(" | ") == 22 and "assert 1" in got and len(got) <= prompts.MOST_DIGEST
+    assert got.count(" | ") == 22 and len(got) == prompts.MOST_DIGEST  # two blocks of diffs, then the cut
+    both = texts.select(prompts.digest(F.slice("t", 3, 2)).alias("d")).first().d
+    assert both.count(" | ") == 11 and both.endswith(prompts.DIGEST_TEST_LABEL + "assert 1")
     assert texts.select(prompts.digest(F.array(F.lit("prose"))).alias("d")).first().d == ""
 
 
