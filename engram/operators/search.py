@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from engram.functions import text as X
-from engram.operators import extraction, rendering, retrieval, selection
+from engram.operators import cards as card_ops
+from engram.operators import extraction, rendering, retrieval, selection, store
 from engram.operators.rendering import strip
 
 # What a query's anchors are, their kinds in the index, budgets.
@@ -229,6 +230,41 @@ def drop_counts(ranked: DataFrame, chosen: DataFrame, response: DataFrame) -> Da
     return out.withColumn("not_chosen", F.col("pooled") - F.col("chosen"))
 
 
+def materialised(ranked: DataFrame, cards: DataFrame, chunks: DataFrame) -> DataFrame:
+    """ranked: query_id, item_id, rank, score; cards: item_id, payload (JSON), created_at; chunks: chunk_id, text. The pool's items with the columns of
+    their cards and `cited` (chunk_id to text); items without a card, or whose payload is no JSON object, go. Payloads and chunks
+    are read for the pool alone, each once, however many queries found it."""
+    few, _ = retrieval.small(ranked.select("item_id").distinct())
+    held = cards.join(few, "item_id", "left_semi").where(F.try_parse_json("payload").isNotNull() & F.col("payload").rlike(r"^\s*\{"))
+    held = retrieval.kept(held.select("item_id", "created_at", store.from_payload(F.col("payload")).alias("c")).select("item_id", "created_at", "c.*"))
+    wanted, _ = retrieval.small(held.select(F.explode("source_ids").alias("chunk_id")).distinct())
+    cited = held.select("item_id", F.explode("source_ids").alias("chunk_id")).join(chunks.select("chunk_id", "text").join(wanted, "chunk_id", "left_semi"), "chunk_id")
+    cited = cited.dropDuplicates(["item_id", "chunk_id"]).groupBy("item_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("chunk_id", "text")))).alias("cited"))
+    return ranked.join(held, "item_id").join(cited, "item_id", "left")
+
+
+def respond(queries: DataFrame, index: dict[str, DataFrame], cards: DataFrame, top_k: int = 10, query_vectors: DataFrame | None = None, verdicts: DataFrame | None = None, pending: DataFrame | None = None) -> DataFrame:
+    """From queries (scope, query_id, text, options) to responses: query_id, item_id, place, content, score. index: faces, entities, anchor_index, items,
+    vectors, as channels() takes them; cards: item_id, text (the stored rendering, by which equal cards count once), files and columns
+    of rendering.CARD; verdicts: query_id, item_id, verdict, confidence, where a judge has spoken; pending: as with_pending takes it.
+    Without a judge, vectors or pending sessions that step leaves the order as it is."""
+    asked = retrieval.kept(features(queries))
+    shown = max(0, min(top_k, 100, 10))
+    ranked = retrieval.kept(pool(asked, channels(asked, query_vectors=query_vectors, **index), index["items"]))
+    few, _ = retrieval.small(ranked.drop("ranks"))
+    chosen = selected(cards.join(few, "item_id"), limit=min(retrieval.POOL_SIZE, max(shown, selection.RERANK_CANDIDATES)))
+    if verdicts is not None:
+        chosen = selection.judged(chosen, verdicts).drop("verdict")
+        chosen = retrieval.top(chosen.drop("rank", "position"), ["query_id"], shown).withColumnRenamed("rank", "position")
+    final = chosen.where(F.col("position") <= shown)
+    asked_anchors = asked.select("query_id", F.col("anchors").alias("_anchors"))
+    if {"files", "problem", "patch"} <= set(cards.columns):
+        final = final.join(asked_anchors, "query_id").withColumn("allow_patch", card_ops.shows_patch(F.col("_anchors"), F.col("files"), F.col("problem"), F.col("patch"))).drop("_anchors")
+    response = assembled(final.drop("text", "rank"))
+    out = response.where("place IS NOT NULL").select("query_id", "item_id", "place", "content", "score")
+    return out if pending is None else with_pending(response, pending, shown)
+
+
 def with_pending(response: DataFrame, pending: DataFrame, slots: int) -> DataFrame:
     """response: query_id, item_id, place, content, score; pending: query_id, item_id, content, ratio of sessions without cards. Seats that
     the cards left free go to pending sessions by overlap; one without any only where a query has no card at all."""

@@ -230,16 +230,19 @@ def payload(cards: DataFrame) -> Column:
     names = {"implement_shape": "shape", "implement_boundaries": "boundaries", "implement_acceptance": "acceptance"}
     texts = [F.nullif(c(names.get(n, n)), F.lit("")).alias(n) for n in ("problem", "mechanism", "locate", "implement", *names, "patch")]
     lists = [F.when(F.size(c(n)) > 0, c(n)).alias(n) for n in (*MOST, "conditions")]
-    return F.to_json(F.struct(*texts, *lists), {"ignoreNullFields": "true"})
+    sources = [F.col("source_ids").alias("source_chunk_ids")] if "source_ids" in cards.columns else []
+    return F.to_json(F.struct(*texts, *lists, *sources), {"ignoreNullFields": "true"})
 
 
 def from_payload(json: Column) -> Column:
-    """payload() undone, as a struct: lists of distinct trimmed texts up to their most, conditions of known types."""
+    """payload() undone, as a struct: lists of distinct trimmed texts up to their most, conditions of known types. Null where there is no JSON
+    object."""
     p = F.from_json(json, PAYLOAD)
     text = lambda n: F.nullif(F.trim(p[n]), F.lit("")).alias(n)
     clean = lambda n, most: F.slice(F.array_distinct(F.filter(F.transform(F.coalesce(p[n], F.array().cast("array<string>")), lambda v: F.trim(v)), lambda v: F.length(v) > 0)), 1, most).alias(n)
     known = F.filter(F.coalesce(p["conditions"], F.array().cast("array<struct<type:string,value:string>>")), lambda x: x["type"].isin(card_ops.CONDITION_TYPES))
-    return F.struct(*[text(n) for n in ("problem", "mechanism", "locate", "implement", "implement_shape", "implement_boundaries", "implement_acceptance")], *[clean(n, m) for n, m in MOST.items()], known.alias("conditions"), p["patch"].alias("patch"))
+    return F.struct(*[text(n) for n in ("problem", "mechanism", "locate", "implement", "implement_shape", "implement_boundaries", "implement_acceptance")], *[clean(n, m) for n, m in MOST.items()], known.alias("conditions"), p["patch"].alias("patch"),
+                    F.filter(F.coalesce(p["source_chunk_ids"], F.array().cast("array<string>")), lambda v: F.length(v) > 0).alias("source_ids"))
 
 
 def unescaped(literal: Column) -> Column:

@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from engram.functions import text as X
-from engram.operators import retrieval, search, selection
+from engram.operators import retrieval, search, selection, store
 from engram.plans.registry import documents, query
 from engram.sources.tables import table
 
@@ -164,3 +164,32 @@ def evidence_snippets(spark, sf):
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0)))
     asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), words.alias("terms"), F.array().cast("array<struct<kind:string,value:string>>").alias("anchors"))
     return search.snippets(cards, chunks, asked, 3).select(F.col("query_id").alias("item_id"), F.col("item_id").alias("conv_id"), "evidence")
+
+
+@query(f"""WITH {_POOL}, j AS (SELECT item_id, doc_id, score FROM pl JOIN documents USING (doc_id) QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY rank) <= 20),
+v AS (SELECT item_id, doc_id, score + CASE WHEN doc_id % 40 <> item_id THEN 0 WHEN doc_id % 3 = 0 THEN 0.010 * 0.75 WHEN doc_id % 3 = 1 THEN 0.010 * 0.35 * 0.75 ELSE 0 END AS score FROM j),
+p AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS position FROM v),
+s AS (SELECT *, max(score) OVER (PARTITION BY item_id) AS best FROM p WHERE position <= 10)
+SELECT item_id AS query_id, doc_id AS item_id, row_number() OVER (PARTITION BY item_id ORDER BY position) AS place, '[历史修复案例] · debug' || chr(10) || '问题：case ' || doc_id AS content, round(score, 6) AS score FROM s WHERE score >= 0.15 * best OR position <= 2""")
+def search_responses(spark, sf):
+    """[R7, R10, R15, R18, R21] From each benchmark passage to its response: all channels, a judge who has seen one in forty of all pairs, final cut,
+    floor, rendered cards."""
+    qv = table(spark, sf, "embeddings").join(table(spark, sf, "benchmark").select("item_id"), F.col("vec_id") == F.col("item_id"), "left_semi")
+    told = F.concat(F.lit("case "), F.col("doc_id").cast("string"))
+    d = table(spark, sf, "documents")
+    cards = d.select(F.col("doc_id").alias("item_id"), told.alias("text"), told.alias("problem"), F.array().cast("array<string>").alias("files"))
+    said = F.when(F.col("doc_id") % 3 == 0, "yes").when(F.col("doc_id") % 3 == 1, "unknown").otherwise("no")
+    verdicts = d.select((F.col("doc_id") % 40).alias("query_id"), F.col("doc_id").alias("item_id"), said.alias("verdict"), F.lit(None).cast("double").alias("confidence"))
+    qv = qv.select(F.lit("all").alias("scope"), F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
+    return search.respond(_asked(spark, sf), _corpus(spark, sf), cards, query_vectors=qv, verdicts=verdicts)
+
+
+@query("""SELECT s_nationkey AS query_id, p_partkey AS item_id, p_name AS problem, 'text ' || p_partkey AS cited FROM supplier JOIN part ON p_partkey = s_suppkey WHERE p_size % 5 <> 0""")
+def materialised_pools(spark, sf):
+    """[R7, J7, S10, S12] Suppliers are pools of their nation; every fifth card's payload is broken, and cards cite a chunk that is there and one that isn't."""
+    p = table(spark, sf, "part").withColumn("source_ids", F.array(F.concat(F.lit("c"), F.col("p_partkey").cast("string")), F.lit("gone"))).withColumn("problem", F.col("p_name"))
+    cards = p.select(F.col("p_partkey").alias("item_id"), F.when(F.col("p_size") % 5 == 0, "{broken").otherwise(store.payload(p)).alias("payload"), F.lit("2024-01-01").alias("created_at"))
+    chunks = p.select(F.concat(F.lit("c"), F.col("p_partkey").cast("string")).alias("chunk_id"), F.concat(F.lit("text "), F.col("p_partkey").cast("string")).alias("text"))
+    ranked = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("query_id"), F.col("s_suppkey").cast("long").alias("item_id"), F.lit(1).alias("rank"), F.lit(1.0).alias("score"))
+    out = search.materialised(ranked, cards, chunks)
+    return out.select("query_id", "item_id", "problem", F.array_join(F.map_values("cited"), ",").alias("cited"))
