@@ -4,7 +4,7 @@ The model is serialised here straight from a rank file: each token's bytes are m
 is scored by its negative rank, so sentencepiece merges in rank order; ids stay equal to ranks and the unknown piece
 comes last. Normalisation is the identity, with no dummy prefix and no escaping of blanks. A text is cut into pre-tokens
 by the vocabulary's pattern; each is encoded by itself (a pre-token that is a token as a whole is that token), and ids go
-back to bytes by the inverse table. Pre-tokens repeat, so a bounded cache holds the ids of the short ones.
+back to bytes by the inverse table. Pre-tokens repeat, so each different one is encoded once as long as it is remembered.
 
 Nulls and edges: a null or empty text has no tokens (the hashes are those of the empty string); special tokens in a text
 are ordinary text; very long pre-tokens are encoded whole; rows are judged alone, so repeated rows need nothing; an empty
@@ -15,6 +15,10 @@ from __future__ import annotations
 import functools
 import hashlib
 import struct
+from collections import defaultdict
+from collections.abc import Iterator
+from itertools import chain, islice
+from itertools import count as counter
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -24,8 +28,12 @@ from .common import load_ranks, tokenizer_path, with_computed
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Byte b is the character FIRST + b: a block of letters, none of them special to sentencepiece.
 FIRST = 0x100
-CACHE_ENTRIES = 100_000
-CACHE_LONGEST = 64
+#: A worker remembers so many pre-tokens, of so many ids in all; texts are worked so many characters at a time.
+CACHE_ENTRIES = 200_000
+CACHE_IDS = 2_000_000
+PART_CHARS = 1 << 20
+#: The characters of all bytes.
+CHARACTERS = "".join(chr(FIRST + b) for b in range(256))
 
 
 def _varint(n: int) -> bytes:
@@ -44,7 +52,7 @@ def _field(number: int, value: bytes | int) -> bytes:
 
 
 def as_characters(token: bytes) -> str:
-    return "".join(chr(FIRST + b) for b in token)
+    return token.decode("latin-1").translate(CHARACTERS)
 
 
 def model_bytes(ranks: dict[bytes, int]) -> bytes:
@@ -65,7 +73,8 @@ def model_bytes(ranks: dict[bytes, int]) -> bytes:
 
 
 class ByteBpe:
-    """Encoder and decoder for one rank file."""
+    """Encoder and decoder for one rank file. Pre-tokens are numbered as they are met; new ones are encoded in one call and decoded by the
+    inverse table once. Between texts what is remembered of them is dropped when full."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import regex
@@ -75,26 +84,52 @@ class ByteBpe:
         self.tokens = [t for t, _ in sorted(ranks.items(), key=lambda x: x[1])]
         self.split = regex.compile(pattern).findall
         self.pieces = sentencepiece.SentencePieceProcessor(model_proto=model_bytes(ranks))
-        self.cache: dict[str, bytes] = {}
-
-    def _piece(self, pre: str) -> bytes:
-        """The ids of a pre-token, four bytes each."""
-        raw = pre.encode("utf-8", "surrogatepass")
-        whole = self.ranks.get(raw)
-        ids = [whole] if whole is not None else self.pieces.encode(as_characters(raw), num_threads=1)
-        packed = struct.pack(f"<{len(ids)}I", *ids)
-        if len(pre) <= CACHE_LONGEST:
-            if len(self.cache) >= CACHE_ENTRIES:
-                self.cache.clear()
-            self.cache[pre] = packed
-        return packed
+        self.clear()
+
+    def clear(self) -> None:
+        self.numbers: defaultdict[str, int] = defaultdict(counter().__next__)
+        self.ids, self.starts = np.zeros(0, dtype="<u4"), np.zeros(1, dtype=np.int64)
+        self.raw: list[bytes] = []
+
+    def _learn(self, new: list[str]) -> None:
+        raw = [pre.encode("utf-8", "surrogatepass") for pre in new]
+        found: list = [self.ranks.get(r) for r in raw]
+        cut = [k for k, whole in enumerate(found) if whole is None]
+        encoded = self.pieces.encode([as_characters(raw[k]) for k in cut], num_threads=1)
+        found = [[whole] for whole in found]
+        for k, ids in zip(cut, encoded):
+            found[k] = ids
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), dtype="<u4")])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.fromiter(map(len, found), dtype=np.int64, count=len(found)))])
+        self.raw += [self.decode(ids) for ids in found]
+
+    def read(self, texts: list[str]) -> Iterator[tuple[np.ndarray, bytes]]:
+        """The ids of each text, and the bytes that they decode to."""
+        at = 0
+        while at < len(texts):
+            if len(self.numbers) > CACHE_ENTRIES or self.starts[-1] > CACHE_IDS:
+                self.clear()
+            part, size = [], 0
+            while at < len(texts) and (not part or size < PART_CHARS):
+                part.append(self.split(texts[at]))
+                size, at = size + len(texts[at]), at + 1
+            lengths = list(map(len, part))
+            places = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(part)), dtype=np.int64, count=sum(lengths))
+            if len(self.numbers) > len(self.raw):
+                self._learn(list(islice(self.numbers, len(self.raw), None)))
+            stop = 0
+            for n in lengths:
+                start, stop = stop, stop + n
+                mine = places[start:stop]
+                sizes = self.starts[mine + 1] - self.starts[mine]
+                within = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                yield self.ids[np.repeat(self.starts[mine], sizes) + within], b"".join(map(self.raw.__getitem__, mine.tolist()))
 
     def encode(self, text: str) -> np.ndarray:
-        get, piece = self.cache.get, self._piece
-        return np.frombuffer(b"".join([get(pre) or piece(pre) for pre in self.split(text)]), dtype="<u4")
+        return next(self.read([text]))[0]
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids.tolist()))
+    def decode(self, ids) -> bytes:
+        return b"".join(map(self.tokens.__getitem__, ids))
 
 
 @functools.lru_cache(maxsize=2)
@@ -112,9 +147,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
 
         def compute(texts: list[str | None]) -> tuple:
             counts, id_hashes, raw_hashes, all_ids, all_raw = [], [], [], [], []
-            for text in texts:
-                ids = bpe.encode(text or "")
-                raw = bpe.decode(ids)
+            for ids, raw in bpe.read([text or "" for text in texts]):
                 counts.append(len(ids))
                 id_hashes.append(hashlib.sha256(ids.tobytes()).hexdigest())
                 raw_hashes.append(hashlib.sha256(raw).hexdigest())
