@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from engram.functions import text as X
-from engram.operators import health, retrieval, selection
+from engram.operators import health, retrieval, selection, store
 from engram.sources import tables
 from engram.streaming import sessions
 
@@ -172,3 +172,16 @@ def test_files_are_spread_as_by_hand(spark):
                 picked.append(item)
                 seen |= own
         assert [got[q, item] for item in picked + late] == list(range(1, 14))
+
+
+def test_replacement_leaves_the_index_of_other_cards(spark):
+    """Whatever the ids: of users 1 and 2 only the session of user 1 is closed."""
+    schema = "user_id long, card_id long, session_id string, extraction_version string, created_at string, problem string, files array<string>, source_ids array<string>"
+    cards = spark.createDataFrame([(1, 7, "s", "v4", "a", "one", ["a.py"], []), (1, 1000007, "s", "v4", "a", "two", ["b.py"], []), (1, 1000008, "t", "v4", "a", "three", ["c.py"], []), (2, 1000007, "s", "v4", "a", "four", ["d.py"], [])], schema)
+    chunks = spark.createDataFrame([], "chunk_id string, text string")
+    vectors = cards.select("user_id", "card_id", F.lit("m").alias("model"))
+    sessions = cards.select("user_id", "session_id", F.lit("pending").alias("status"), F.lit(0).cast("long").alias("card_count")).distinct()
+    new = spark.createDataFrame([(1, 2000007, "s", "v4", "b", "five", ["e.py"], [])], schema)
+    done = store.finalised(store.index_rows(cards, chunks) | {"vectors": vectors, "sessions": sessions}, new, spark.createDataFrame([(1, "s")], "user_id long, session_id string"), chunks, "v4")
+    keys = lambda n: sorted((r.user_id, r.card_id) for r in done[n].collect())
+    assert keys("vectors") == [(1, 1000008), (2, 1000007)] and keys("cards") == keys("anchors") == [(1, 1000008), (1, 2000007), (2, 1000007)]

@@ -54,3 +54,15 @@ def test_entry_without_the_corpus_operators(spark, sf):
 
 def test_rerank_takes_every_line(spark, sf):
     assert QUERIES["rerank_fuse"](spark, sf).count() == spark.read.parquet(f"{sf}/lineitem.parquet").count()
+
+
+@pytest.mark.parametrize("name", ["finalised_cards", "finalised_sessions", "purge_counts"])
+def test_store_of_more_than_a_million_parts(spark, sf, tmp_path, name):
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT * REPLACE (p_partkey + 999900 AS p_partkey) FROM '{sf}/part.parquet') TO '{tmp_path}/part.parquet' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet'")
+    frame = QUERIES[name](spark, str(tmp_path))
+    found = con.execute(f"SELECT {', '.join(map('"{}"'.format, frame.columns))} FROM ({ORACLES[name]})").fetchall()
+    assert sorted(map(tuple, frame.collect())) == sorted(found)
+    if name == "finalised_cards":
+        assert {(r[2] >= 1000000, r[4]) for r in found if r[2] < 1100000} == {(False, 1), (True, 0)} and any(r[2] >= 1999900 for r in found)
