@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -67,6 +68,23 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.4)
 
 
+def kept_alone(df: DataFrame) -> DataFrame:
+    """kept(df), with the shuffle files that it was made from deleted at once, whenever the JVM collects its garbage. Only for a df
+    that is not computed again."""
+    out = kept(df)
+    plan = df._jdf.queryExecution().executedPlan()
+    if plan.getClass().getSimpleName() != "AdaptiveSparkPlanExec":  # another plan doesn't list its shuffles
+        release(df.sparkSession)
+        return out
+    files = df.sparkSession.sparkContext._jsc.sc().shuffleDriverComponents()
+    for shuffle in list(plan.context().shuffleIds().keySet()):
+        try:
+            files.removeShuffle(shuffle, True)
+        except Py4JJavaError:  # an executor went meanwhile; what others hold goes when Spark's cleaner finds it
+            pass
+    return out
+
+
 def fold_of(doc_id, folds: int) -> int:
     """crc32 of the id as text, modulo folds; a null id counts as the empty text."""
     return zlib.crc32(b"" if doc_id is None else str(int(doc_id)).encode()) % folds

@@ -12,7 +12,8 @@ hashes of its distinct n-grams, with their counts in its training texts, to rang
 counts of its n-grams over all blocks, which is the exact corpus count, and sends each block the counts of what the block asked
 for. The block then builds the part of the automaton that its texts can reach and reads all of them. So every n-gram of
 every training text counts, a task holds one block or one range (ranges grow in number with the corpus), and an n-gram
-that occurs in each document is still one row per block.
+that occurs in each document is still one row per block. Blocks send in rounds, tokens and pairs in the first and each longer
+length in one of its own; what a round sent is deleted as soon as its totals are kept, so one round's messages are on disk at a time.
 
 Long texts are cut into pieces for the traversal, which runs over all pieces in step; as a state depends on the last
 ORDER - 1 tokens only, a piece that starts that many tokens early reaches the same states.
@@ -23,6 +24,7 @@ rows count and are scored each time; an empty table gives an empty result; other
 """
 from __future__ import annotations
 
+import functools
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -34,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, kept, release
+from .common import fold_of, kept_alone
 
 ORDER = 3
 FOLDS = 5
@@ -168,7 +170,7 @@ def pack(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 class _Block:
     """A packed block, unpacked: tokens with an end after each text."""
 
-    def __init__(self, row, bits: int) -> None:
+    def __init__(self, row, bits: int, order: int = ORDER) -> None:
         self.bits = bits
         lengths = _expand(row["lengths"], np.int64)
         self.n_docs = int(row["n_docs"])
@@ -182,7 +184,7 @@ class _Block:
         self.ends[last] = True
         self.tokens = np.zeros(len(self.ends), dtype=np.int64)  # id 0 is the end
         self.tokens[~self.ends] = _expand(row["tokens"], np.int32)
-        self.hashes = gram_hashes(self.vocabulary[self.tokens], self.ends, ORDER, bits)
+        self.hashes = gram_hashes(self.vocabulary[self.tokens], self.ends, order, bits)
 
     def distinct(self, n: int, counted: bool) -> tuple[np.ndarray, np.ndarray]:
         """The distinct n-grams by hash, and (counted) their counts in the training texts or (else) the index of each place's."""
@@ -223,12 +225,16 @@ def _range_edges(n: int, ranges: int, bits: int) -> np.ndarray:
 COUNTS = "range int, n int, block long, hashes binary, counts binary"
 
 
-def _send(ranges: int, bits: int):
+#: Lengths of the n-grams that are sent and added up at a time; of three the first two take about as much as the third.
+ROUNDS = (tuple(range(1, min(ORDER, 2) + 1)), *((n,) for n in range(3, ORDER + 1)))
+
+
+def _send(ranges: int, bits: int, lengths: tuple[int, ...]):
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for _, row in batch.iterrows():
-                block = _Block(row, bits)
-                for n in range(1, ORDER + 1):
+                block = _Block(row, bits, max(lengths))
+                for n in lengths:
                     hashes, counts = block.distinct(n, True)
                     cuts = np.concatenate([[0], np.searchsorted(hashes, _range_edges(n, ranges, bits)), [len(hashes)]])
                     out = [(r, n, row["block"], _compress(np.diff(hashes[a:b], prepend=np.uint64(0))), _compress(counts[a:b].astype(np.int32)))
@@ -379,12 +385,12 @@ def _score_block(packed: pd.DataFrame, totals: pd.DataFrame, bits: int, n_total:
 
 def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES, range_entries: int = RANGE_ENTRIES, mu: tuple[float, ...] = MU) -> DataFrame:
     """docs: doc_id (an integer), text. Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
-    packed = kept(pack(docs, block_bytes))
+    packed = kept_alone(pack(docs, block_bytes))
     tokens = packed.agg(F.sum("n_tokens")).first()[0] or 0
     ranges, bits = max(1, -(-int(tokens) * ORDER // range_entries)), HASH_BITS
-    totals = kept(packed.mapInPandas(_send(ranges, bits), COUNTS).groupBy("range", "n").applyInPandas(_total, TOTALS))
-    release(docs.sparkSession)  # the counts that were sent
-    stats = totals.where("n = 1").agg(F.sum("total"), F.sum("seen")).first()
+    rounds = [kept_alone(packed.mapInPandas(_send(ranges, bits, lengths), COUNTS).groupBy("range", "n").applyInPandas(_total, TOTALS)) for lengths in ROUNDS]
+    totals = functools.reduce(DataFrame.union, rounds)
+    stats = rounds[0].where("n = 1").agg(F.sum("total"), F.sum("seen")).first()
     n_total, v_total = int(stats[0] or 0), int(stats[1] or 0)
 
     def each(packed_rows: pd.DataFrame, total_rows: pd.DataFrame) -> pd.DataFrame:

@@ -69,6 +69,25 @@ def test_lm_scoring(docs, none, rows):
     assert lm_scoring.score(none).count() == 0
 
 
+def test_lm_scoring_deletes_what_it_sent(spark, docs, monkeypatch):
+    """Whenever the JVM collects its garbage: of the sent counts no more than one round's are on disk, and none once totals are kept."""
+    disk, keep = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager(), type(docs).checkpoint
+    held, seen = lambda: {f.getName(): f.length() for f in map(disk.getAllFiles().apply, range(disk.getAllFiles().length())) if re.fullmatch(r"shuffle_.*\.data", f.getName())}, []
+
+    def spy(df, *args, **named):
+        out = keep(df, *args, **named)
+        seen.append({name: size for name, size in held().items() if name not in before})
+        return out
+
+    monkeypatch.setattr(lm_scoring, "release", lambda spark: None, raising=False)
+    monkeypatch.setattr(type(docs), "checkpoint", spy)
+    before = held()
+    scored = lm_scoring.score(docs, block_bytes=3000, range_entries=500)
+    left, sent = sum(size for name, size in held().items() if name not in before), sum({k: v for files in seen for k, v in files.items()}.values())
+    assert left < 0.05 * sent and max(sum(files.values()) for files in seen) < 0.7 * sent
+    assert scored.count() == docs.count()
+
+
 def test_sort_order_of_long_keys():
     rng = np.random.default_rng(1)
     keys = rng.integers(0, 1 << 62, 5000, dtype=np.uint64)
